@@ -11,10 +11,8 @@ LEVELS = ("none", "low", "moderate", "high", "crisis")
 def severity_rank(level: Column | str, unknown: int = 0) -> Column:
     """Rank 0-4 of a level name. Unknown or null names get `unknown`."""
     col = F.col(level) if isinstance(level, str) else level
-    ranked = F.when(col == LEVELS[0], 0)
-    for rank, name in enumerate(LEVELS[1:], start=1):
-        ranked = ranked.when(col == name, rank)
-    return ranked.otherwise(unknown)
+    ranks = F.create_map(*[x for rank, name in enumerate(LEVELS) for x in (F.lit(name), F.lit(rank))])
+    return F.coalesce(F.element_at(ranks, col), F.lit(unknown))
 
 
 def level_name(rank: Column | str) -> Column:

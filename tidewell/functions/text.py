@@ -6,7 +6,7 @@ Offsets count code points from zero, end exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -23,26 +23,44 @@ def normalize_text(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(straight, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
+_BLOCK = 64
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value evaluated once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches of `pattern`, left to right, as spans.
 
-    One regex pass marks every match; the offsets are then a running sum of piece lengths.
+    One regex pass marks every match; the offsets are then a running sum of piece lengths. Pieces are
+    folded in blocks, so a text with very many matches does not copy one growing list again and again.
     """
     marked = F.regexp_replace(text, pattern, _OPEN + "$0" + _CLOSE)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("acc"))
+
+    def width(piece: Column) -> Column:
+        return F.length(piece) - F.contains(piece, F.lit(_CLOSE)).cast("int")
 
     def step(state: Column, piece: Column) -> Column:
         found = F.substring_index(piece, _CLOSE, 1)
         here = state["pos"]
         span = F.struct(here.alias("s"), (here + F.length(found)).alias("e"), found.alias("t"))
-        is_match = F.contains(piece, F.lit(_CLOSE))
-        return F.when(
-            is_match,
-            F.struct((here + F.length(piece) - 1).alias("pos"),
-                     F.concat(state["acc"], F.array(span)).alias("acc")),
-        ).otherwise(F.struct((here + F.length(piece)).alias("pos"), state["acc"].alias("acc")))
-
-    return F.aggregate(F.split(marked, _OPEN, -1), start, step, lambda state: state["acc"])
+        grown = F.when(F.contains(piece, F.lit(_CLOSE)), F.concat(state["acc"], F.array(span))).otherwise(state["acc"])
+        return F.struct((here + width(piece)).alias("pos"), grown.alias("acc"))
+
+    def fold(pieces: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int"))
+        block = lambda b: F.slice(pieces, b * _BLOCK + 1, _BLOCK)
+        widths = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda n, p: n + width(p)))
+        starts = F.aggregate(
+            widths, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("acc")),
+            lambda st, w: F.struct((st["pos"] + w).alias("pos"), F.concat(st["acc"], F.array(st["pos"])).alias("acc")),
+            lambda st: st["acc"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, start: F.aggregate(
+            block(b), F.struct(start.alias("pos"), F.array().cast(SPAN_TYPE).alias("acc")), step, lambda st: st["acc"])))
+
+    return bind(F.split(marked, _OPEN, -1), fold)
 
 
 def no_spans() -> Column:

@@ -55,39 +55,38 @@ def outermost_object(raw: Column) -> Column:
 
 
 def parse_verdicts(verdicts: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds struct `judgment`, null where the output is missing, malformed or of no known level."""
-    body = outermost_object(F.col(raw))
-    staged = verdicts.withColumn("_v", F.try_parse_json(body))
+    """Adds `parsed_level` and struct `judgment`, both null where the output is missing, malformed or of
+    no known level. The level is kept flat so that filters on it need not rebuild the struct."""
+    staged = verdicts.withColumn("_v", F.try_parse_json(outermost_object(F.col(raw))))
     level = F.try_variant_get("_v", "$.risk_level", "string")
-    level_kind = F.schema_of_variant(F.try_variant_get("_v", "$.risk_level", "variant"))
+    staged = staged.withColumn("parsed_level", F.element_at(
+        F.create_map(*[x for name in LEVELS for x in (F.lit(name), F.lit(name))]), level))
     listed = F.try_variant_get("_v", "$.categories", "array<string>")
-    number = F.try_variant_get("_v", "$.confidence", "variant")
-    number_kind = F.schema_of_variant(number)
-    numeric = number_kind.rlike(r"^(BIGINT|DOUBLE|DECIMAL|FLOAT|BOOLEAN)")
-    as_double = F.when(number_kind == "BOOLEAN", F.try_variant_get("_v", "$.confidence", "boolean").cast("double")) \
-        .otherwise(F.try_variant_get("_v", "$.confidence", "double"))
-    prose_kind = F.schema_of_variant(F.try_variant_get("_v", "$.rationale", "variant"))
-    prose = F.when(prose_kind == "STRING", F.try_variant_get("_v", "$.rationale", "string"))
+    kind_of = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    as_double = F.when(kind_of("$.confidence") == "BOOLEAN", F.try_variant_get("_v", "$.confidence", "boolean").cast("double")) \
+        .when(kind_of("$.confidence") != "STRING", F.try_variant_get("_v", "$.confidence", "double"))
+    prose = F.when(kind_of("$.rationale") == "STRING", F.try_variant_get("_v", "$.rationale", "string"))
     judgment = F.struct(
-        level.alias("risk_level"),
+        F.col("parsed_level").alias("risk_level"),
         F.coalesce(listed, F.array(F.lit("none"))).alias("categories"),
-        clamp(F.coalesce(F.when(numeric, as_double), F.lit(0.0)), 0.0, 1.0).alias("confidence"),
+        clamp(F.coalesce(as_double, F.lit(0.0)), 0.0, 1.0).alias("confidence"),
         F.coalesce(prose, F.lit("")).alias("rationale"))
-    known = (level_kind == "STRING") & level.isin(list(LEVELS))
-    return staged.withColumn("judgment", F.when(F.coalesce(known, F.lit(False)), judgment)).drop("_v")
+    return staged.withColumn("judgment", F.when(F.col("parsed_level").isNotNull(), judgment)).drop("_v")
 
 
 def fail_safe(parsed: DataFrame, error: str = "error") -> DataFrame:
     """Fills missing, errored and invalid judgments so that they route to a person."""
-    broken = F.col("judgment").isNull() | F.col(error).isNotNull()
+    broken = F.col("parsed_level").isNull() | F.col(error).isNotNull()
     reason = F.when(F.col(error).isNotNull(), "Classifier call failed; failing safe to human review.").otherwise(
         "Classifier output was missing or unparseable; failing safe to human review.")
     safe = F.struct(
         F.lit(FAIL_SAFE_LEVEL).alias("risk_level"),
         F.array(*[F.lit(c) for c in FAIL_SAFE_CATEGORIES]).alias("categories"),
         F.lit(0.0).alias("confidence"), reason.alias("rationale"))
-    return parsed.withColumn("source", F.when(broken, "fail_safe").otherwise("model")).withColumn(
-        "judgment", F.when(broken, safe).otherwise(F.col("judgment")))
+    return parsed.withColumns({
+        "source": F.when(broken, "fail_safe").otherwise("model"),
+        "model_level": F.when(broken, FAIL_SAFE_LEVEL).otherwise(F.col("parsed_level")),
+        "judgment": F.when(broken, safe).otherwise(F.col("judgment"))}).drop("parsed_level")
 
 
 def parse_coach(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -148,11 +147,12 @@ def final_rank(keyword: Column, model: Column, semantic_on: Column, failed: Colu
 
 
 def keyword_floor(chosen: Column, keyword: Column, model: Column, semantic_on: Column, failed: Column) -> Column:
-    return F.when(semantic_on & ~failed & (model > 0), F.greatest(chosen, keyword)).otherwise(chosen)
+    return F.greatest(chosen, F.when(semantic_on & ~failed & (model > 0), keyword).otherwise(0))
 
 
 def threat_floor(rank: Column, threat: Column, semantic_on: Column) -> Column:
-    return F.when(threat & ~semantic_on, 3).when(threat & (rank > 0), F.greatest(rank, F.lit(3))).otherwise(rank)
+    raised = F.when(threat & (rank > 0), 3).otherwise(0)
+    return F.when(threat & ~semantic_on, 3).otherwise(F.greatest(rank, raised))
 
 
 def attributed_layer(semantic_on: Column, failed: Column, matched: Column, keyword: Column, final: Column) -> Column:
@@ -188,7 +188,7 @@ def fuse_verdicts(scanned: DataFrame, verdicts: DataFrame, settings: DataFrame,
     staged = staged.withColumn("route", route)
     decided = staged.where(F.col("route") != "model").withColumns({
         "judgment": F.lit(None).cast("struct<risk_level:string,categories:array<string>,confidence:double,rationale:string>"),
-        "source": F.lit("layer1"), "failed": F.lit(False)})
+        "source": F.lit("layer1"), "model_level": F.lit("none"), "failed": F.lit(False)})
     asked = fail_safe(parse_verdicts(
         staged.where(F.col("route") == "model").join(
             verdicts.select(message_id, "raw", "error"), message_id, "left")))
@@ -197,11 +197,12 @@ def fuse_verdicts(scanned: DataFrame, verdicts: DataFrame, settings: DataFrame,
         F.lit(0.0).alias("confidence"), F.lit("semantic layer disabled in settings").alias("rationale"))
     undecided = asked.withColumns({
         "judgment": F.when(F.col("semantic_on"), F.col("judgment")).otherwise(disabled),
+        "model_level": F.when(F.col("semantic_on"), F.col("model_level")).otherwise("none"),
         "failed": F.col("semantic_on") & (F.col("source") == "fail_safe"),
         "source": F.when(F.col("semantic_on"), F.col("source")).otherwise("disabled"),
     }).drop("raw", "error")
     both = decided.unionByName(undecided)
-    model_rank = severity_rank(F.col("judgment.risk_level"))
+    model_rank = severity_rank("model_level")
     rank = (F.when(F.col("route") == "crisis_phrase", 4)
             .when(F.col("route") == "everything", F.col("k_rank"))
             .otherwise(final_rank(F.col("k_rank"), model_rank, F.col("semantic_on"), F.col("failed"), F.col("k_threat"))))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.levels import level_name
-from tidewell.functions.sizing import collect_bounded
+from tidewell.functions.sizing import collect_bounded, lookup_join
 from tidewell.functions.text import (
     bounded_phrases, hinted, inside_any, literal_starts, match_spans, near, no_spans, normalize_text,
     phrase_pattern,
@@ -269,17 +269,29 @@ def hit_rows(scanned: DataFrame, key: str) -> DataFrame:
 
 
 def phrase_hits(messages: DataFrame, phrases: DataFrame, key: str, text: str = "text",
-                longest: int = 8) -> DataFrame:
+                longest: int = 12) -> DataFrame:
     """Literal phrases found in messages, by joining word n-grams with a phrase table of any size.
 
     The scale-out form of the exact, root and pair matchers: use it when the vocabulary is too
-    large for a pattern. A phrase counts where it stands on word boundaries.
+    large for a pattern. A phrase counts where it stands between word edges. Only n-gram lengths that
+    occur in the vocabulary are spelled out.
     """
-    words = F.split(F.trim(F.regexp_replace(normalize_text(text), r"(?U)[^\w']+", " ")), " ")
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(longest)),
-        lambda n: F.transform(
-            F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: i + n <= F.size(words)),
-            lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))))
-    exploded = messages.select(key, F.explode(F.array_distinct(grams)).alias("phrase"))
-    return exploded.join(phrases.select("phrase", "category").distinct(), "phrase")
+    table = phrases.where(F.size(F.split("phrase", " ")) <= longest).groupBy("phrase").agg(
+        F.collect_set("category").alias("_categories"))
+    if phrases.where(F.size(F.split("phrase", " ")) > longest).limit(1).count():
+        raise ValueError(f"the vocabulary holds phrases of more than {longest} words; raise `longest`")
+    lengths = sorted(r["n"] for r in collect_bounded(
+        table.select(F.size(F.split("phrase", " ")).alias("n")).distinct(), longest, "phrase lengths"))
+    words = F.col("_words")
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        spelled = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, spelled).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(*[grams_of(n) for n in lengths])
+    split_up = messages.select(key, F.split(F.trim(
+        F.regexp_replace(normalize_text(text), r"(?U)[^\w']+", " ")), " ").alias("_words"))
+    exploded = split_up.select(key, F.explode(F.array_distinct(grams)).alias("phrase"))
+    return lookup_join(exploded, table, ["phrase"], [key], how="inner").select(
+        key, "phrase", F.explode("_categories").alias("category"))

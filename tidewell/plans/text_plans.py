@@ -198,10 +198,9 @@ _EXACT = {
 
 def _hits_sql(table_of):
     values = ", ".join("('" + p.replace("'", "''") + f"', '{c}')" for p, c in table_of.items())
-    edge = r"[^\p{L}\p{N}_'']"
-    return f"""WITH {_NORMED}, v(phrase, category) AS (VALUES {values})
-  SELECT msg_id, phrase, category FROM normed JOIN v ON contains(norm, phrase)
-  AND regexp_matches(norm, '(^|{edge})' || phrase || '($|{edge})')"""
+    return f"""WITH {_NORMED}, v(phrase, category) AS (VALUES {values}),
+  padded AS (SELECT msg_id, ' ' || trim(regexp_replace(norm, '[^\\p{{L}}\\p{{N}}_'']+', ' ', 'g')) || ' ' AS words FROM normed)
+  SELECT DISTINCT msg_id, phrase, category FROM padded JOIN v ON contains(words, ' ' || phrase || ' ')"""
 
 
 def _hits(spark, sf, kind):
@@ -254,9 +253,12 @@ def template_hits(spark, sf):
 
 def _pattern_hits(spark, sf, kind):
     norm = F.col("norm")
-    found = F.flatten(F.array(*[
-        F.transform(match_spans(norm, p), lambda h, c=m.category: F.struct(h["t"].alias("phrase"), F.lit(c).alias("category")))
-        for m in matchers(spark) for p in getattr(m, kind)]))
+
+    def hits(pattern, category):
+        return F.transform(match_spans(norm, pattern), lambda h: F.struct(
+            h["t"].alias("phrase"), F.lit(category).alias("category")))
+
+    found = F.flatten(F.array(*[hits(p, m.category) for m in matchers(spark) for p in getattr(m, kind)]))
     return normed(spark, sf).select("msg_id", F.explode(F.array_distinct(found)).alias("h")).select("msg_id", "h.*")
 
 
