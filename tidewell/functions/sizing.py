@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -34,5 +34,14 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: list[str], spread: list[str]
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def as_col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input that would leave cores idle; anything larger stays where it is, unshuffled.
+
+    For work bound by the processor: a single small file is one task otherwise.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if estimated_bytes(df) < cores * per_task else df

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.levels import level_name
-from tidewell.functions.sizing import collect_bounded, lookup_join
+from tidewell.functions.sizing import collect_bounded, lookup_join, spread_small
 from tidewell.functions.text import (
     bounded_phrases, hinted, inside_any, literal_starts, match_spans, near, no_spans, normalize_text,
     phrase_pattern,
@@ -85,7 +85,7 @@ def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
     A template whose slots are known needs no pattern pass of its own in the gate: the phrases of
     its last required slot stand for it.
     """
-    patterns, phrases = lexicon.patterns, lexicon.phrases
+    patterns, phrases = lexicon.patterns.coalesce(1), lexicon.phrases.coalesce(1)
     required = lexicon.slots.where(F.col("slot").isin(list(guards.REQUIRED_SLOTS)))
     last_slot = {
         r["template_id"]: (r["category"], r["slot"]) for r in collect_bounded(
@@ -181,7 +181,7 @@ def scan_messages(messages: DataFrame, matchers: Sequence[LevelMatchers], text:
     norm = F.col("_norm")
     stops = [*guards.STOP_WORDS, *(fuzzy.dictionary_lookalikes(words) if words is not None else [])]
     gates = [g for m in matchers for g in m.gate()]
-    base = messages.withColumn("_norm", normalize_text(text))
+    base = spread_small(messages).withColumn("_norm", normalize_text(text))
     base = base.select(
         "*",
         laugh_spans(norm).alias("_laugh"),

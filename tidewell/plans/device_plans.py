@@ -67,12 +67,12 @@ def alerts(spark, sf):
 
 @query("throttle_alerts")
 def throttle_alerts(spark, sf):
-    return ops.throttle_alerts(alerts(spark, sf), chunk_seconds=600).select("device_id", "seq", "surface", "tier3")
+    return ops.throttle_alerts(alerts(spark, sf)).select("device_id", "seq", "surface", "tier3")
 
 
 @query("throttle_screen")
 def throttle_screen(spark, sf):
-    return ops.throttle_screen(alerts(spark, sf), chunk_seconds=600).select("device_id", "seq", "phrase", "tier3")
+    return ops.throttle_screen(alerts(spark, sf)).select("device_id", "seq", "phrase", "tier3")
 
 
 @query("display_phrase", f"""WITH {MESSAGES} SELECT msg_id, CASE WHEN msg_id % 3 = 0 THEN '' WHEN msg_id % 2 = 0 THEN split_part(text, ' ', 2)

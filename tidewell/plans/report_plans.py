@@ -11,7 +11,12 @@ from tidewell.plans.inputs import (
 )
 from tidewell.plans.registry import query
 
-NOW = F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
+def _now():
+    return F.lit("2024-01-30 12:00:00").cast("timestamp")
+
+
 _DAY = "DATE '2024-01-30'"
 _YEAR, _MONTH = 2024, 1
 _WEEK = f"week AS (SELECT * FROM daily WHERE day > {_DAY} - 7 AND day <= {_DAY})"
@@ -40,7 +45,7 @@ def _day(column="day"):
     ' of 20 minutes of activity measured today. Your reading settles once there''s enough.'
     ELSE 'Your baseline is set — the app will learn your rhythm as you go.' END AS tips FROM j""")
 def dashboard(spark, sf):
-    board = ops.dashboard(daily(spark, sf), users(spark, sf), NOW)
+    board = ops.dashboard(daily(spark, sf), users(spark, sf), _now())
     return board.withColumn("tips", F.array_join("suggestions", " | ")).drop("suggestions")
 
 
@@ -63,7 +68,7 @@ def battery_label(spark, sf):
   CASE WHEN w.user_id IS NOT NULL THEN CAST(round_even(coalesce(w.tab_switches, 0e0), 0) AS BIGINT) END AS tabs
   FROM spine s LEFT JOIN week w ON s.user_id = w.user_id AND s.day = w.day""")
 def weekly_trend(spark, sf):
-    return ops.weekly_trend(daily(spark, sf), users(spark, sf), NOW).withColumn("day", _day())
+    return ops.weekly_trend(daily(spark, sf), users(spark, sf), _now()).withColumn("day", _day())
 
 
 @query("weekly_arrays", f"""WITH {DAILY}, {USERS}, {_WEEK}, spine AS (SELECT user_id,
@@ -73,7 +78,7 @@ def weekly_trend(spark, sf):
   AS VARCHAR), '-'), ',' ORDER BY s.day) AS bars
   FROM spine s LEFT JOIN week w ON s.user_id = w.user_id AND s.day = w.day GROUP BY s.user_id""")
 def weekly_arrays(spark, sf):
-    side = ops.weekly_arrays(ops.weekly_trend(daily(spark, sf), users(spark, sf), NOW))
+    side = ops.weekly_arrays(ops.weekly_trend(daily(spark, sf), users(spark, sf), _now()))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",", "-").alias(c)
     return side.select("user_id", joined("trend"), joined("bars"))
 
@@ -84,7 +89,7 @@ _CHANGE = """CASE WHEN count(*) >= 2 THEN CAST(round_even(CAST(arg_max(focus_sco
 
 @query("week_change", f"WITH {DAILY}, {_WEEK} SELECT user_id, {_CHANGE} AS week_change FROM week GROUP BY user_id")
 def week_change(spark, sf):
-    return ops.week_change(daily(spark, sf), NOW)
+    return ops.week_change(daily(spark, sf), _now())
 
 
 _WORST = "worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mental_battery, day) AS rk FROM week) WHERE rk = 1)"
@@ -94,7 +99,7 @@ _TIPS = """array_to_string(list_transform(string_split(tips, ' | ')[1:3],
 
 @query("worst_day_tips", f"WITH {DAILY}, {_WEEK}, {_WORST} SELECT user_id, {_TIPS} AS tips FROM worst")
 def worst_day_tips(spark, sf):
-    return ops.worst_day_tips(daily(spark, sf), NOW).select("user_id", _tips().alias("tips"))
+    return ops.worst_day_tips(daily(spark, sf), _now()).select("user_id", _tips().alias("tips"))
 
 
 def _tips():
@@ -111,14 +116,14 @@ def _tips():
   AS narrative, t.tips, avg_battery IS NULL AS empty
   FROM users u LEFT JOIN a USING (user_id) LEFT JOIN t USING (user_id)""")
 def weekly_findings(spark, sf):
-    return ops.weekly_findings(daily(spark, sf), users(spark, sf), NOW).withColumn(
+    return ops.weekly_findings(daily(spark, sf), users(spark, sf), _now()).withColumn(
         "tips", F.when(F.col("tips").isNotNull(), _tips()))
 
 
 @query("month_days", f"""WITH {USERS} SELECT user_id, strftime(unnest(generate_series(DATE '2024-01-01', {_DAY}, INTERVAL 1 DAY)),
   '%Y-%m-%d') AS day FROM users""")
 def month_days(spark, sf):
-    return ops.month_days(users(spark, sf), _YEAR, _MONTH, NOW).withColumn("day", _day())
+    return ops.month_days(users(spark, sf), _YEAR, _MONTH, _now()).withColumn("day", _day())
 
 
 _IN = f"BETWEEN DATE '2024-01-01' AND {_DAY}"
@@ -147,17 +152,17 @@ _APPS = f"""apps AS (SELECT user_id, app, seconds, row_number() OVER (PARTITION
 
 @query("month_metrics", f"WITH {DAILY}, {_METRICS} SELECT user_id, days_tracked, avg_battery, avg_focus FROM metrics")
 def month_metrics(spark, sf):
-    return ops.month_metrics(daily(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.month_metrics(daily(spark, sf), _YEAR, _MONTH, _now())
 
 
 @query("month_events", f"WITH {HISTORY}, {_EVENTS} SELECT user_id, moments_count, crisis_count FROM monthly")
 def month_events(spark, sf):
-    return ops.month_events(history(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.month_events(history(spark, sf), _YEAR, _MONTH, _now())
 
 
 @query("calm_streak", f"WITH {DAILY}, {HISTORY}, {_CALM} SELECT user_id, calm_streak_days FROM calm")
 def calm_streak(spark, sf):
-    return ops.calm_streak(daily(spark, sf), history(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.calm_streak(daily(spark, sf), history(spark, sf), _YEAR, _MONTH, _now())
 
 
 def _archived(spark, sf):
@@ -170,12 +175,12 @@ def _archived(spark, sf):
 @query("month_chat", f"WITH {CHAT}, {_CHATS} SELECT user_id, chat_message_count FROM talk")
 def month_chat(spark, sf):
     active = chat(spark, sf).where("thread_id % 2 = 1")
-    return ops.month_chat(active, _archived(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.month_chat(active, _archived(spark, sf), _YEAR, _MONTH, _now())
 
 
 @query("top_hours", f"WITH {HISTORY}, {_HOURS} SELECT user_id, pos, label, count FROM top_hours")
 def top_hours(spark, sf):
-    return ops.top_hours(history(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.top_hours(history(spark, sf), _YEAR, _MONTH, _now())
 
 
 def usage(spark, sf):
@@ -185,7 +190,7 @@ def usage(spark, sf):
 
 @query("top_apps", f"WITH {APP_USAGE}, {_APPS} SELECT user_id, pos, app, minutes FROM top_apps")
 def top_apps(spark, sf):
-    return ops.top_apps(usage(spark, sf), settings(spark, sf), _YEAR, _MONTH, NOW)
+    return ops.top_apps(usage(spark, sf), settings(spark, sf), _YEAR, _MONTH, _now())
 
 
 @query("monthly_wrap", f"""WITH {DAILY}, {HISTORY}, {SETTINGS}, {CHAT}, {APP_USAGE}, {_METRICS}, {_EVENTS}, {_CALM}, {_CHATS}, {_HOURS}, {_APPS},
@@ -201,7 +206,7 @@ def top_apps(spark, sf):
 def monthly_wrap(spark, sf):
     wrap = ops.monthly_wrap(
         users(spark, sf), daily(spark, sf), history(spark, sf), chat(spark, sf).where("thread_id % 2 = 1"),
-        _archived(spark, sf), usage(spark, sf), settings(spark, sf), _YEAR, _MONTH, NOW)
+        _archived(spark, sf), usage(spark, sf), settings(spark, sf), _YEAR, _MONTH, _now())
     pairs = lambda c, key, value: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(
         x[key], F.lit("="), x[value].cast("string"))), ", "), F.lit(""))
     return wrap.withColumns({"hours": pairs("top_hours", "label", "count"),
