@@ -216,12 +216,12 @@ _EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 
 @query("escalation_candidates", f"""WITH {HISTORY}, {SETTINGS}, {_SENDS} SELECT h.user_id, count(*) AS crises,
   any_value(regexp_extract(s.contact, '{_EMAIL}')) AS address FROM history h JOIN settings s USING (user_id)
-  WHERE h.level = 'crisis' AND h.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND h.ts <= TIMESTAMP '{AS_OF}'
-  AND regexp_extract(s.contact, '{_EMAIL}') != '' AND h.user_id NOT IN (SELECT user_id FROM sends WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR)
+  WHERE h.level = 'crisis' AND h.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 96 HOUR AND h.ts <= TIMESTAMP '{AS_OF}'
+  AND regexp_extract(s.contact, '{_EMAIL}') != '' AND h.user_id NOT IN (SELECT user_id FROM sends WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 96 HOUR)
   GROUP BY h.user_id HAVING count(*) >= 3""")
 def escalation_candidates(spark, sf):
     sends = table(spark, sf, "events").where("event_type = 'purchase' AND event_id % 2 = 0").select("user_id", "ts")
-    return ops.escalation_candidates(history(spark, sf), settings(spark, sf), sends, as_of())
+    return ops.escalation_candidates(history(spark, sf), settings(spark, sf), sends, as_of(), hours=96)
 
 
 _CONTACT = "CASE WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 5 = 1 THEN NULL ELSE c_name || ' <a.b+' || c_custkey || '@x-' || c_nationkey || '.school.edu> or z@y.org' END"
