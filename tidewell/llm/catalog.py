@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.llm.registry import QUERIES, SQL, Query
 
-MODULES = ("syncmers", "nbsvm", "toxicity", "decontaminate", "setjoin", "pii", "linededup", "mixing", "warc")
+MODULES = ("syncmers", "nbsvm", "toxicity", "decontaminate", "setjoin", "pii", "linededup", "mixing", "warc", "prefixtree")
 for _module in MODULES:
     importlib.import_module(f"tidewell.llm.{_module}")
 
