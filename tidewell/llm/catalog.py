@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
 from tidewell.llm.registry import QUERIES, SQL, Query
 
-MODULES = ("syncmers", "nbsvm", "toxicity", "decontaminate", "setjoin", "pii", "linededup", "mixing", "warc", "prefixtree")
+MODULES = ("syncmers", "toxicity", "setjoin", "prefixtree", "pii", "nbsvm", "mixing", "linededup", "warc", "decontaminate")
 for _module in MODULES:
     importlib.import_module(f"tidewell.llm.{_module}")
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict[str, Query]:
