@@ -52,6 +52,13 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table made by `saved` that nothing will read again."""
+    for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over `edges` (a, b), for every id that has an edge.
 
@@ -74,15 +81,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.where("m < a").select("a", "m")).where("a <> b").distinct()
-        large = saved(large, "edges")
+        large, before = saved(large, "edges"), now
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", "m")).where("a <> b").distinct()
         now = saved(small, "edges")
+        forget(before), forget(large)
     else:
         raise RuntimeError("components did not settle")
     tops = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops)
 
 
-__all__ = ["LOWER", "UPPER", "bind", "components", "new_path", "read", "saved", "sha256_hex", "shared_folder", "text_of"]
+__all__ = ["LOWER", "UPPER", "bind", "components", "forget", "new_path", "read", "saved", "sha256_hex", "shared_folder", "text_of"]

@@ -11,16 +11,16 @@ sets meet in the subset that is their intersection. Whoever shares a subset of s
 shingles (a) while dropping b itself is linked to it if a + b <= i * (100 - percent) / percent. Of two linked members one
 link to that member follows for each, so one star per subset loses no connection and needs no further check.
 
-Large sets are found through inverted lists. Shingles are ordered by hash; linked sets share one of the first
-n - ceil(n * percent / 100) + 1 shingles of each, so only those are listed. Lists of more than `HEAVY` sets come from passages many
-documents share, and say little: for the documents on them, the set is also dealt by hash into more groups than shingles can
-differ, so that linked sets agree on a whole group; the heavy lists are replaced by lists per group. Each list becomes a
-cluster around its smallest id, and a cluster is scanned in tasks: the members' shingles form inverted lists, and each
-member of a block counts its overlaps along them. A large cluster is scanned in many blocks, so no task holds all pairs, and only
-links that join parts of the graph leave the task, not all pairs.
+Large sets are found through lists. Up to `MIDDLE` shingles a set is listed under its first shingles by hash: linked sets share one of the first
+n - ceil(n * percent / 100) + 1 of each. Beyond that, single shingles say little, because passages that many documents share bring
+unrelated ones together; the set is dealt by hash into more groups than there can be differing shingles, so that linked sets agree on a
+whole group, and is listed under its groups. Each list becomes a cluster around its smallest id, and clusters are scanned in tasks: the
+members' shingles form inverted lists, and each member counts its overlaps along them. A large cluster is scanned block against
+block, so no task holds more than two blocks, and a task returns only links that join parts of the graph, not all pairs.
 
 The boundary is the size from which listing prefix shingles costs less than enumerating subsets, worked out from the counts of
-documents by size. Null text has no words. A repeated doc_id is handled as one document for its component; a null doc_id forms none.
+documents by size. Null text has no words. Rows that repeat a doc_id are one document: what one of them links to, all do. A null doc_id
+links with nothing.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm.common import components, read, saved
+from tidewell.llm.common import components, forget, read, saved
 from tidewell.llm.registry import query
 
-HEAVY, BLOCK_SHINGLES, MOST_SUBSETS, LIST_COST = 48, 1 << 19, 64, 0.1
+MIDDLE, BLOCK_SHINGLES, MOST_SUBSETS, LIST_COST = 64, 1 << 19, 64, 0.1
+LADDER = 2 ** 0.5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -106,32 +107,54 @@ def subsets(s: np.ndarray, percent: int) -> list[tuple[int, int]]:
     return list(zip(_signed(left).tolist(), [a for _, a in lacks]))
 
 
-def class_of(n: int, percent: int) -> int:
-    return int(math.log(n) / math.log(100 / percent) + 1e-9)
+def group_count(c: int, percent: int) -> tuple[int, int]:
+    """(groups, spare) of size class c, whose sets have fewer than LADDER ** (c + 1) shingles.
+
+    Linked sets of the class differ in `most` shingles at most, so of most + 1 + spare groups at least spare + 1 agree. `spare` is meant
+    to exceed the number of empty groups, so that one of those that agree holds shingles.
+    """
+    most = int(2 * LADDER ** (c + 1) * (100 - percent) / (100 + percent))
+    spare = 1
+    while spare < most:
+        count = most + 1 + spare
+        empty = count * math.exp(-LADDER ** c * percent / 100 / count)
+        if spare >= empty + 3 * math.sqrt(empty) + 1:
+            break
+        spare += 1
+    return most + 1 + spare, spare
 
 
 def groups(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of whole hash groups: linked sets share at least one.
+    """Hashes of whole hash groups: two linked sets share at least one.
 
-    Sizes fall into classes such that linked sets are in the same class or in neighbouring ones; a set is dealt out for its own class and
-    for the next. A class has `most` differing shingles at most; with most + 1 + spare groups, spare + 1 agree. Empty groups
-    are left out unless there are more than `spare` of them, so that an agreement on a group with shingles remains.
+    A set belongs to the class of its size, and also to the next if a linked set could be there. Empty groups are left out
+    unless there are more than `spare` of them: then sets might agree on empty groups alone.
     """
-    own = class_of(s.size, percent)
+    own = int(math.log(s.size) / math.log(LADDER) + 1e-9)
     out = []
     for c in (own, own + 1):
-        top = (100 / percent) ** (c + 1)  # sets meeting in class c are smaller than this
-        most = int(2 * top * (100 - percent) / (100 + percent)) + 1
-        spare = max(2, most // 12)
-        count = most + 1 + spare
+        if c > own and s.size < LADDER ** c * percent / 100 - 1e-6:
+            break
+        count, spare = group_count(c, percent)
         at = (mixed(s + np.uint64(c)) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) > 0)))
         sums = np.zeros(count, dtype=np.uint64)
-        np.add.at(sums, at, mixed(s * _B))
-        filled = np.bincount(at, minlength=count) > 0
+        sums[at[order][starts]] = np.add.reduceat(mixed(s * _B)[order], starts)
+        filled = np.zeros(count, dtype=bool)
+        filled[at] = True
         use = filled if (~filled).sum() <= spare else np.ones(count, dtype=bool)
         label = mixed(np.arange(count, dtype=np.uint64) + np.uint64(c * 1_000_003))
         out.append(mixed(sums + label)[use])
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
+
+
+def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """The lists a set is on: prefix shingles up to `MIDDLE`, hash groups beyond; around `MIDDLE`, both."""
+    out = [s[:prefix_size(s.size, percent)]] if s.size <= MIDDLE else []
+    if s.size * 100 > MIDDLE * percent:
+        out.append(groups(s, percent))
+    return np.concatenate(out)
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -141,7 +164,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _listed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, id and key (of the set), subsets (if there are at most `MOST_SUBSETS`) and prefix, a row per document."""
+    """doc_id, n, key1 and key2 (of the set), subsets (if there are at most `MOST_SUBSETS`) and lists, a row per document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         few: dict[int, bool] = {}
@@ -154,31 +177,18 @@ def _listed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 if s.size not in few:
                     few[s.size] = dropped(s.size, percent) <= 6 and subset_count(s.size, percent) <= MOST_SUBSETS
-                rows.append((i, s.size, *set_key(s), subsets(s, percent) if few[s.size] else [], _signed(s[:prefix_size(s.size, percent)])))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "id", "key", "subsets", "prefix"])
-
-    return docs.mapInPandas(run, "doc_id long, n long, id long, key long, subsets array<struct<key:long,a:int>>, prefix array<long>")
-
-
-def _with_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """id, n, s (sorted hashes), g (hash groups, of sets on heavy lists) for rows (text, heavy)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            rows = []
-            for text, heavy in zip(batch["text"], batch["heavy"]):
-                s = shingles(text, k, known)
-                rows.append((set_key(s)[0], s.size, _signed(s), _signed(groups(s, percent)) if heavy else []))
-            yield pd.DataFrame(rows, columns=["id", "n", "s", "g"])
+                rows.append((i, s.size, *set_key(s), subsets(s, percent) if few[s.size] else [], _signed(list_keys(s, percent))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "key1", "key2", "subsets", "lists"])
 
-    return texts.mapInPandas(run, "id long, n long, s array<long>, g array<long>")
+    return docs.mapInPandas(run, "doc_id long, n long, key1 long, key2 long, subsets array<struct<key:long,a:int>>, lists array<long>")
 
 
-def scan(members: pd.DataFrame, percent: int) -> pd.DataFrame:
+def scan(members: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     """Links (a, b) found by the members of a block (probe true) among all members; links that add no connection are left out."""
-    members = members.sort_values("id", kind="stable").drop_duplicates("id")
+    members = members.sort_values("id", kind="stable")
     ids = members["id"].to_numpy()
-    sets = [np.asarray(x).view(np.uint64) for x in members["s"]]
+    known: dict[bytes, int] = {}
+    sets = [shingles(t, k, known) for t in members["text"]]
     sizes = np.array([x.size for x in sets])
     tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -219,21 +229,21 @@ def scan(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _on_lists(lists: DataFrame) -> DataFrame:
-    """(key, id, top, length) of lists (key, id) that hold more than one set; top is the smallest id of the list."""
-    tops = lists.groupBy("key").agg(F.min("id").alias("top"), F.count("*").alias("length")).where("length > 1")
-    return lists.join(tops, "key")
+def _clusters(lists: DataFrame) -> DataFrame:
+    """(top, id) of lists (key, id) that hold more than one set; top is the smallest id of the list."""
+    tops = lists.groupBy("key").agg(F.min("id").alias("top"), F.max("id").alias("last")).where("top < last").select("key", "top")
+    return lists.join(tops, "key").select("top", "id").distinct()
 
 
-def _scanned(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _scanned(member: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) within clusters (top, id). A task scans one block of a cluster against another, each of bounded volume."""
-    known = member.distinct().join(sets.select("id", "n"), "id")
+    known = member.join(reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id")
     blocks = known.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = known.join(blocks, "top").select("top", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     rows = placed.select("top", "id", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own").join(
-        sets.select("id", "s"), "id").select("top", "i", "j", "id", "s", (F.col("own") == F.col("i")).alias("probe"))
-    return rows.groupBy("top", "i", "j").applyInPandas(lambda frame: scan(frame, percent), "a long, b long")
+        texts.withColumnRenamed("doc_id", "id"), "id").select("top", "i", "j", "id", "text", (F.col("own") == F.col("i")).alias("probe"))
+    return rows.groupBy("top", "i", "j").applyInPandas(lambda frame: scan(frame, k, percent), "a long, b long")
 
 
 def _stars(small: DataFrame, percent: int) -> DataFrame:
@@ -248,26 +258,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included; null for a null doc_id)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = saved(_listed(texts, k, percent), "listed")
-    reps = saved(listed.where("n > 0 AND doc_id IS NOT NULL").groupBy("id", "key", "n").agg(F.min("doc_id").alias("rep")), "sets")
+    reps = saved(listed.where("n > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     counts = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("c")).collect()}
     limit = boundary(counts, percent)
-    once = listed.join(reps.select(F.col("rep").alias("doc_id"), "id"), ["doc_id", "id"]).dropDuplicates(["id"])
+    once = listed.join(reps.select("key1", "key2", F.col("rep").alias("doc_id")), ["doc_id", "key1", "key2"]).withColumnRenamed("doc_id", "id")
     small = once.where(F.col("n") <= limit).select("id", "n", F.inline("subsets"))
-    lists = once.where(F.col("n") > limit * percent // 100).select("id", F.explode("prefix").alias("key"))
-    shared = saved(_on_lists(lists), "lists")
-    heavy = F.col("length") > HEAVY
-    found = shared.groupBy("id").agg(F.max(heavy).alias("heavy")).join(reps, "id").select(F.col("rep").alias("doc_id"), "heavy")
-    sets = saved(_with_sets(texts.join(found, "doc_id").select("text", "heavy"), k, percent).dropDuplicates(["id"]), "shingles")
-    grouped = _on_lists(sets.select("id", F.explode("g").alias("key")))
-    member = shared.where(~heavy).select("top", "id").union(grouped.select("top", "id"))
-    edges = _stars(small, percent).union(_scanned(member, sets, percent))
-    reached = components(edges)
-    label = reps.join(reached, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
-    least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = label.join(least, "component").select("id", "component_id")
-    linked = listed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
-    return linked.join(of_set, "id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    lists = once.where(F.col("n") > limit * percent // 100).select("id", F.explode("lists").alias("key"))
+    member = saved(_clusters(lists), "clusters")
+    edges = saved(_stars(small, percent).union(_scanned(member, reps, texts, k, percent)), "links")
+    forget(member)
+    own = listed.where("n > 0 AND doc_id IS NOT NULL").select("key1", "key2", "doc_id")
+    same = own.join(reps.select("key1", "key2", "rep"), ["key1", "key2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Copies are leaves: only ids that link to another set, or stand under two sets, take part in the iteration
+    between = edges.union(same.join(same.groupBy("a").agg(F.countDistinct("b").alias("c")).where("c > 1").select("a"), "a").select("a", "b"))
+    reached = components(between)
+    forget(edges)
+    label = reps.select("key1", "key2", "rep").join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key1", "key2", F.coalesce("component", "rep").alias("component_id"))
+    heads = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key1"))
+    return listed.select("doc_id", "n", heads.alias("key1"), "key2").join(label, ["key1", "key2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
