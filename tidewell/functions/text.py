@@ -134,6 +134,26 @@ def hinted(pattern: str, starts: Iterable[str] | None) -> str:
     return flags + "(?=" + phrase_pattern(starts) + ")(?:" + pattern[len(flags):] + ")"
 
 
+def _alternates(pattern: str) -> bool:
+    """Whether a `|` stands outside all brackets of a pattern's rest."""
+    depth, i = 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif ch == "[":
+            i += 2 if pattern[i + 1:i + 2] == "^" else 1  # a bracket that comes first is a member
+            i += 1
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            return True
+        i += 1
+    return False
+
+
 def literal_starts(pattern: str) -> set[str] | None:
     """First letters of a pattern that opens with an alternation of literals; null when unsure."""
     opening = re.match(r"(?:\(\?[a-zA-Z]+\))*(?:\\b|\(\?<!\\w\))\(\?:", pattern)
@@ -155,7 +175,8 @@ def literal_starts(pattern: str) -> set[str] | None:
             depth += 1
         elif ch == ")":
             if depth == 0:
-                return firsts if pattern[i + 1:i + 2] not in ("?", "*", "{") else None
+                optional = pattern[i + 1:i + 2] in ("?", "*", "{")
+                return None if optional or _alternates(pattern[i + 1:]) else firsts
             depth -= 1
         elif ch == "|" and depth == 0:
             at_start = True

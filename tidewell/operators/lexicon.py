@@ -108,7 +108,7 @@ def compile_alternation(phrases: DataFrame, keys: Sequence[str] = ("category", "
 
 def compile_template(slots: DataFrame, phrases: DataFrame,
                      required: Sequence[str] = guards.REQUIRED_SLOTS) -> DataFrame:
-    """Template regex per template id.
+    """Template regex per category and template id; two documents may use the same id.
 
     `slots` is `(template_id, category, pos, slot)`. Optional slots before the last required one
     keep their space behind them, optional ones after it keep their space in front.
@@ -117,7 +117,7 @@ def compile_template(slots: DataFrame, phrases: DataFrame,
     marked = slots.join(F.broadcast(words), ["category", "slot"]).withColumn(
         "required", F.col("slot").isin(list(required)))
     part = F.struct("pos", "required", F.concat(F.lit("(?:"), "words", F.lit(")")).alias("group"))
-    ordered = marked.groupBy("template_id").agg(
+    ordered = marked.groupBy("category", "template_id").agg(
         F.array_sort(F.collect_list(part)).alias("parts"),
         F.max(F.when(F.col("required"), F.col("pos"))).alias("last_required"))
     start = F.struct(F.lit("").alias("body"), F.lit(True).alias("separated"))
@@ -133,7 +133,7 @@ def compile_template(slots: DataFrame, phrases: DataFrame,
         return F.struct(body.alias("body"), (~part["required"] & F.coalesce(leading, F.lit(False))).alias("separated"))
 
     built = F.aggregate("parts", start, extend, lambda state: state["body"])
-    return ordered.select("template_id", F.concat(F.lit(r"(?<!\w)"), built, F.lit(r"(?!\w)")).alias("regex"))
+    return ordered.select("category", "template_id", F.concat(F.lit(r"(?<!\w)"), built, F.lit(r"(?!\w)")).alias("regex"))
 
 
 def combination_count(slots: DataFrame, phrases: DataFrame,

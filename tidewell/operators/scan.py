@@ -82,17 +82,17 @@ _MUNDANE = hinted(guards.MUNDANE, list("abcdefghklmnpqrstvw"))
 def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
     """Matchers per level from the lexicon tables, which must be small.
 
-    A template whose slots are known needs no pattern pass of its own in the gate: the phrases of
-    its last required slot stand for it.
+    A template compiled from its slots needs no pattern pass of its own in the gate: the phrases of
+    its last required slot stand for it. One that brings its own regex may match other words.
     """
     patterns, phrases = lexicon.patterns.coalesce(1), lexicon.phrases.coalesce(1)
     required = lexicon.slots.where(F.col("slot").isin(list(guards.REQUIRED_SLOTS)))
     last_slot = {
-        r["template_id"]: (r["category"], r["slot"]) for r in collect_bounded(
+        (r["category"], r["template_id"]): (r["category"], r["slot"]) for r in collect_bounded(
             required.groupBy("template_id", "category").agg(F.max_by("slot", "pos").alias("slot")),
             MAX_LEXICON_ROWS, "lexicon templates")}
     rows = collect_bounded(
-        patterns.select("severity", "category", "kind", "pattern_id", "regex", "bypass")
+        patterns.select("severity", "category", "kind", "pattern_id", "regex", "compiled", "bypass")
         .orderBy("severity", "kind", "pattern_id"), MAX_LEXICON_ROWS, "lexicon_pattern")
     levels: dict[tuple[int, str], LevelMatchers] = {}
 
@@ -107,7 +107,7 @@ def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
             entry.rules.append(_flagged(row["regex"]))
         elif row["kind"] == "template":
             entry.templates.append(_flagged(row["regex"]))
-            if row["pattern_id"] in last_slot:
+            if row["compiled"] and (row["category"], row["pattern_id"]) in last_slot:
                 entry.anchored.add(entry.templates[-1])
         elif row["kind"] == "negative":
             entry.negative.append(_flagged(row["regex"]))

@@ -33,9 +33,9 @@ def to_events(spark, sf):
 
 
 @query("retain_last", f"""WITH {HISTORY} SELECT user_id, seq, level FROM (SELECT *,
-  row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM history) WHERE rn <= 50""")
+  row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM history) WHERE rn <= 500""")
 def retain_last(spark, sf):
-    return ops.retain_last(history(spark, sf), 50, ["user_id"], ["seq"]).select("user_id", "seq", "level")
+    return ops.retain_last(history(spark, sf), 500, ["user_id"], ["seq"]).select("user_id", "seq", "level")
 
 
 @query("erase", f"""WITH {HISTORY}, gone AS (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal < 0)

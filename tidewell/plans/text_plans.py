@@ -10,12 +10,12 @@ from tidewell.functions.text import match_spans, normalize_text
 from tidewell.operators import fuzzy, guards, scan
 from tidewell.plans.inputs import MESSAGES, bounded_sql, messages, norm_sql, table
 from tidewell.plans.registry import query
-from tidewell.sources.lexicon import SHIPPED, read_lexicon
+from tidewell.sources.lexicon import shipped_lexicon
 
 
 @cache
 def _matchers(application: str, spark):
-    return scan.load_matchers(read_lexicon(spark, str(SHIPPED)))
+    return scan.load_matchers(shipped_lexicon(spark))
 
 
 def matchers(spark):

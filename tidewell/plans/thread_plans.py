@@ -28,9 +28,9 @@ def list_threads(spark, sf):
 
 @query("archivable_threads", f"""WITH {CHAT}, t AS (SELECT user_id, thread_id, max(ts) AS ts, count(*) AS count FROM chat
   GROUP BY ALL HAVING bool_or(role = 'user')) SELECT user_id, thread_id, epoch_us(ts) AS at, count FROM (SELECT *,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, thread_id DESC) AS rn FROM t) WHERE rn <= 4""")
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, thread_id DESC) AS rn FROM t) WHERE rn <= 50""")
 def archivable_threads(spark, sf):
-    return ops.archivable_threads(chat(spark, sf), keep=4).withColumn("at", F.unix_micros("ts")).drop("ts")
+    return ops.archivable_threads(chat(spark, sf), keep=50).withColumn("at", F.unix_micros("ts")).drop("ts")
 
 
 def _threads(spark, sf):
@@ -62,18 +62,18 @@ def _friend_turns(spark, sf):
 
 _FRIEND = """turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'friend' WHEN 'assistant' THEN 'user' END AS role,
   text AS content FROM conversations), caps AS (SELECT conv_id, count(*) AS turns, max(length(content)) AS longest,
-  count(*) <= 6 AND coalesce(max(length(content)), 0) <= 1500 AS accepted FROM turns GROUP BY conv_id)"""
+  count(*) <= 60 AND coalesce(max(length(content)), 0) <= 4000 AS accepted FROM turns GROUP BY conv_id)"""
 
 
 @query("conversation_caps", f"WITH {_FRIEND} SELECT conv_id, turns, longest, accepted FROM caps")
 def conversation_caps(spark, sf):
-    return fusion.conversation_caps(_friend_turns(spark, sf), most_turns=6, longest=1500)
+    return fusion.conversation_caps(_friend_turns(spark, sf), most_turns=60, longest=4000)
 
 
 @query("label_transcript", f"""WITH {_FRIEND} SELECT conv_id, string_agg(CASE role WHEN 'friend' THEN 'user: [FRIEND] '
   ELSE 'assistant: [STUDENT (me)] ' END || content, chr(10) ORDER BY turn) AS transcript
   FROM turns WHERE role IS NOT NULL AND conv_id IN (SELECT conv_id FROM caps WHERE accepted) GROUP BY conv_id""")
 def label_transcript(spark, sf):
-    labelled = fusion.label_transcript(_friend_turns(spark, sf), most_turns=6, longest=1500)
+    labelled = fusion.label_transcript(_friend_turns(spark, sf), most_turns=60, longest=4000)
     return labelled.select("conv_id", F.array_join(F.transform(
         "transcript", lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n").alias("transcript"))

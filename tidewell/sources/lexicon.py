@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.operators.lexicon import compile_template
 
@@ -27,7 +29,7 @@ _CATEGORY = {1: "everyday_stress", 2: "major_stress", 3: "crisis"}
 
 @dataclass
 class Lexicon:
-    """`patterns(severity, category, kind, pattern_id, regex, bypass)`,
+    """`patterns(severity, category, kind, pattern_id, regex, compiled, bypass)`,
     `phrases(severity, category, slot, phrase)` and `slots(template_id, category, pos, slot)`."""
 
     patterns: DataFrame
@@ -35,9 +37,20 @@ class Lexicon:
     slots: DataFrame
 
 
+def shipped_lexicon(spark: SparkSession) -> Lexicon:
+    """The lexicon that comes with the package. The driver reads its three files; executors need no copy of them."""
+    fields = StructType.fromDDL(_SCHEMA).fieldNames()
+    rows = [{f: doc.get(f) for f in fields} for doc in (json.loads(p.read_text(encoding="utf-8")) for p in sorted(SHIPPED.glob("*.json")))]
+    return lexicon_of(spark.createDataFrame(rows, _SCHEMA))
+
+
 def read_lexicon(spark: SparkSession, paths: str | list[str]) -> Lexicon:
-    """Load lexicon documents. Templates given by slots only are compiled from their phrases."""
-    docs = spark.read.schema(_SCHEMA).option("multiLine", True).json(paths)
+    """Load lexicon documents from a place all executors can read."""
+    return lexicon_of(spark.read.schema(_SCHEMA).option("multiLine", True).json(paths))
+
+
+def lexicon_of(docs: DataFrame) -> Lexicon:
+    """Lexicon tables of documents. Templates given by slots only are compiled from their phrases."""
     lookup = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("level")]
     docs = docs.where(F.col("level").isNotNull()).select(
         "*", lookup(_SEVERITY).alias("severity"), lookup(_CATEGORY).alias("category"),
@@ -53,16 +66,16 @@ def read_lexicon(spark: SparkSession, paths: str | list[str]) -> Lexicon:
     compiled = compile_template(slots, phrases).withColumnRenamed("regex", "built")
     from_templates = templates.select("severity", "category", "bypass", F.col("t.id").alias("template_id"),
                                       F.col("t.regex").alias("given")).join(
-        F.broadcast(compiled), "template_id", "left").select(
+        compiled, ["category", "template_id"], "left").select(
         "severity", "category", F.lit("template").alias("kind"), F.col("template_id").alias("pattern_id"),
-        F.coalesce("given", "built").alias("regex"), "bypass")
+        F.coalesce("given", "built").alias("regex"), F.col("given").isNull().alias("compiled"), "bypass")
     rules = docs.select("severity", "category", "bypass", F.explode("regex_rules").alias("r")).select(
         "severity", "category", F.lit("rule").alias("kind"), F.col("r.id").alias("pattern_id"),
-        F.col("r.regex").alias("regex"), "bypass")
+        F.col("r.regex").alias("regex"), F.lit(False).alias("compiled"), "bypass")
     negative = docs.select("severity", "category", "bypass",
                            F.posexplode("negative_context_regex").alias("pos", "regex")).select(
         "severity", "category", F.lit("negative").alias("kind"),
-        F.concat(F.lit("negative_"), F.col("pos").cast("string")).alias("pattern_id"), "regex", "bypass")
+        F.concat(F.lit("negative_"), F.col("pos").cast("string")).alias("pattern_id"), "regex", F.lit(False).alias("compiled"), "bypass")
     patterns = from_templates.unionByName(rules).unionByName(negative).where(F.col("regex").isNotNull())
     return Lexicon(patterns, phrases, slots)
 
