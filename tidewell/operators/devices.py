@@ -287,9 +287,13 @@ def backspace_rate(backs: Column, keys: Column) -> Column:
 
 
 def longest_gap(events: DataFrame, tie: Sequence[str] = ("seq",), report_seconds: int = REPORT_SECONDS) -> DataFrame:
-    """Longest pause between switches, in minutes, among the switches of each report interval."""
-    seen = with_previous(events.where(F.col("kind") == "switch"), ["device_id"], "ts", ["ts"], tie, name="_prev")
-    gap = (_micros("ts") - F.unix_micros(F.col("_prev.ts"))) / (60.0 * _MICROS)
+    """Longest pause before a switch, in minutes, among the switches of each report interval.
+
+    The first switch of a device pauses since its start: its first event of any kind.
+    """
+    started = events.groupBy("device_id").agg(F.min("ts").alias("_start"))
+    seen = with_previous(events.where(F.col("kind") == "switch"), ["device_id"], "ts", ["ts"], tie, name="_prev").join(started, "device_id")
+    gap = (_micros("ts") - F.unix_micros(F.coalesce(F.col("_prev.ts"), F.col("_start")))) / (60.0 * _MICROS)
     report = F.floor(_micros("ts") / F.lit(report_seconds * _MICROS)).cast("long") + 1
     return seen.groupBy("device_id", F.timestamp_micros(report * report_seconds * _MICROS).alias("report_at")).agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("avg_session_min"))

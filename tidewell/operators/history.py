@@ -109,18 +109,22 @@ def status(events: DataFrame, daily: DataFrame, as_of: Column) -> DataFrame:
 
 def merge_settings(patches: DataFrame, toggles: Sequence[str] = TOGGLES,
                    default_contact: str = "School Counselor <counselor@school.edu>") -> DataFrame:
-    """Current settings per user: the last given value of every key, defaults for the rest."""
+    """Current settings per user: the last given value of every key, defaults for the rest; unknown toggles stay."""
     def last(value: Column) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
 
     merged = patches.groupBy("user_id").agg(
-        *[last(F.col(c)).alias(c) for c in ("name", "contact", "onboarded", "track_app_usage", "popup_policy")],
-        *[last(F.col("toggles")[t]).alias(f"_{t}") for t in toggles])
-    return merged.select(
+        *[last(F.col(c)).alias(c) for c in ("name", "contact", "onboarded", "track_app_usage", "popup_policy")])
+    given = patches.select("user_id", "seq", F.explode("toggles").alias("key", "value")).where("value IS NOT NULL")
+    named = given.groupBy("user_id", "key").agg(F.max_by("value", "seq").alias("value")).groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_given"))
+    known = F.create_map(*[x for t in toggles for x in (F.lit(t), F.lit(True))])
+    own = F.coalesce("_given", F.create_map().cast("map<string,boolean>"))
+    rest = F.map_filter(known, lambda k, _: ~F.map_contains_key(own, k))
+    return merged.join(named, "user_id", "left").select(
         "user_id", F.coalesce("name", F.lit("")).alias("name"),
         F.coalesce("contact", F.lit(default_contact)).alias("contact"),
-        F.coalesce("onboarded", F.lit(False)).alias("onboarded"),
-        F.create_map(*[x for t in toggles for x in (F.lit(t), F.coalesce(F.col(f"_{t}"), F.lit(True)))]).alias("toggles"),
+        F.coalesce("onboarded", F.lit(False)).alias("onboarded"), F.map_concat(rest, own).alias("toggles"),
         F.coalesce("track_app_usage", F.lit(False)).alias("track_app_usage"),
         F.when(F.col("popup_policy") == "everything", "everything").otherwise("balanced").alias("popup_policy"))
 

@@ -138,8 +138,9 @@ def backspace_rate(spark, sf):
         "device_id", F.unix_micros("report_at").alias("report_at"), F.round("backspace_rate", 6).alias("backspace_rate"))
 
 
-_GAPS = f"""sw AS (SELECT device_id, seq, {_US} AS us FROM ({_RHYTHM} events) WHERE kind = 'switch'),
-  gp AS (SELECT *, us - lag(us) OVER (PARTITION BY device_id ORDER BY us, seq) AS gap FROM sw),
+_GAPS = f"""ev AS (SELECT device_id, seq, kind, {_US} AS us, min({_US}) OVER (PARTITION BY device_id) AS started FROM ({_RHYTHM} events)),
+  sw AS (SELECT * FROM ev WHERE kind = 'switch'),
+  gp AS (SELECT *, us - coalesce(lag(us) OVER (PARTITION BY device_id ORDER BY us, seq), started) AS gap FROM sw),
   gaps AS (SELECT device_id, (us // 45000000 + 1) * 45000000 AS report_at, coalesce(max(gap / 60e6), 0e0) AS g FROM gp GROUP BY ALL)"""
 
 

@@ -109,7 +109,8 @@ def patches(spark, sf):
         "CASE WHEN event_type = 'signup' THEN true END AS onboarded",
         "CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END AS track_app_usage",
         "CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'everything' ELSE 'loud' END END AS popup_policy",
-        "CASE WHEN event_id % 5 = 0 THEN map('semantic', event_id % 2 = 0) WHEN event_id % 5 = 1 THEN map('trend', event_id % 3 = 0) END AS toggles")
+        "CASE WHEN event_id % 5 = 0 THEN map('semantic', event_id % 2 = 0) WHEN event_id % 5 = 1 THEN map('trend', event_id % 3 = 0) "
+        "WHEN event_id % 5 = 2 THEN map('own_' || event_id % 2, event_id % 7 = 0) END AS toggles")
 
 
 @query("merge_settings", """WITH p AS (SELECT user_id, event_id AS seq,
@@ -118,7 +119,8 @@ def patches(spark, sf):
   CASE WHEN event_type = 'signup' THEN true END AS onboarded,
   CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END AS track,
   CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'everything' ELSE 'loud' END END AS policy,
-  CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 END AS semantic, CASE WHEN event_id % 5 = 1 THEN event_id % 3 = 0 END AS trend
+  CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 END AS semantic, CASE WHEN event_id % 5 = 1 THEN event_id % 3 = 0 END AS trend,
+  CASE WHEN event_id % 5 = 2 AND event_id % 2 = 1 THEN event_id % 7 = 0 END AS own_1
   FROM events)
   SELECT user_id, coalesce(arg_max(name, seq) FILTER (name IS NOT NULL), '') AS name,
   coalesce(arg_max(contact, seq) FILTER (contact IS NOT NULL), 'School Counselor <counselor@school.edu>') AS contact,
@@ -126,11 +128,12 @@ def patches(spark, sf):
   coalesce(arg_max(track, seq) FILTER (track IS NOT NULL), false) AS track_app_usage,
   CASE WHEN arg_max(policy, seq) FILTER (policy IS NOT NULL) = 'everything' THEN 'everything' ELSE 'balanced' END AS popup_policy,
   coalesce(arg_max(semantic, seq) FILTER (semantic IS NOT NULL), true) AS semantic,
-  coalesce(arg_max(trend, seq) FILTER (trend IS NOT NULL), true) AS trend FROM p GROUP BY user_id""")
+  coalesce(arg_max(trend, seq) FILTER (trend IS NOT NULL), true) AS trend,
+  arg_max(own_1, seq) FILTER (own_1 IS NOT NULL) AS own_1 FROM p GROUP BY user_id""")
 def merge_settings(spark, sf):
     return ops.merge_settings(patches(spark, sf)).select(
         "user_id", "name", "contact", "onboarded", "track_app_usage", "popup_policy",
-        F.col("toggles")["semantic"].alias("semantic"), F.col("toggles")["trend"].alias("trend"))
+        F.col("toggles")["semantic"].alias("semantic"), F.col("toggles")["trend"].alias("trend"), F.try_element_at("toggles", F.lit("own_1")).alias("own_1"))
 
 
 @query("user_state", f"""WITH {HISTORY}, {SETTINGS}, {GATE}, {DAILY}, {CHAT},
