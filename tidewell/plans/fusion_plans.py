@@ -61,12 +61,16 @@ _COACH = """CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '{"guidance": "listen
   WHEN 4 THEN '{"reply": "cut' ELSE '{"reply": "there", "danger": "none"}' END"""
 
 
+def _said(part):
+    return "'" + ops.COACH_FALLBACK[part].replace("'", "''") + "'"
+
+
 @query("parse_coach", f"""WITH r AS (SELECT event_id AS msg_id, {_COACH} AS raw FROM events),
   b AS (SELECT *, regexp_extract(coalesce(raw, ''), '(?s)\\{{.*\\}}') AS obj FROM r),
   j AS (SELECT *, CASE WHEN obj != '' AND json_valid(obj) THEN CAST(obj AS JSON) END AS j FROM b)
-  SELECT msg_id, CASE WHEN json_extract_string(j, '$.reply') IS NULL THEN 'Hey, I''m really glad you told me. That sounds so heavy and you''re not alone in it. Are you safe right now?'
+  SELECT msg_id, CASE WHEN json_extract_string(j, '$.reply') IS NULL THEN {_said('reply')}
     ELSE trim(json_extract_string(j, '$.reply')) END AS reply,
-  CASE WHEN json_extract_string(j, '$.reply') IS NULL THEN 'Lead by validating them and asking if they''re safe. Stay calm — you don''t have to fix it, just be there and keep them talking.'
+  CASE WHEN json_extract_string(j, '$.reply') IS NULL THEN {_said('guidance')}
     ELSE trim(coalesce(json_extract_string(j, '$.guidance'), '')) END AS guidance,
   CASE WHEN json_extract_string(j, '$.reply') IS NOT NULL AND json_extract_string(j, '$.danger') IN ('none', 'watch', 'escalate')
     THEN json_extract_string(j, '$.danger') ELSE 'watch' END AS danger,

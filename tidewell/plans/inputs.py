@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewell.operators.behavior import TIPS
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -87,13 +89,15 @@ REPORTS = "reports AS (SELECT user_id, event_id AS seq, ts, " + ", ".join(
 LATEST = """latest AS (SELECT * FROM (SELECT *, CAST(ts AS DATE) AS day,
   row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, seq DESC) AS rn FROM reports) WHERE rn = 1)"""
 
-_TIPS = """CASE WHEN marathon > 0 THEN 'You''ve been locked in for hours without a break — stand up and stretch for five.' END,
-  CASE WHEN d_late > 0.5 THEN 'Wind down earlier — your late-night activity is well above your usual.' END,
-  CASE WHEN d_tabs > 0.5 THEN 'Reduce multitasking — try a single-tab focus session.' END,
-  CASE WHEN d_intr > 0.5 THEN 'Batch your notifications and protect one uninterrupted focus block.' END,
-  CASE WHEN d_back > 0.5 THEN 'Lots of corrections lately — a short break can reset your focus.' END,
-  CASE WHEN d_frag > 0.4 THEN 'Your sessions are fragmented — try one 25-minute focused block.' END"""
-_STEADY = "You''re tracking close to your healthy baseline. Keep it steady."
+
+def _said(tip: str) -> str:
+    return TIPS[tip].replace("'", "''")
+
+
+_TIPS = ",\n  ".join(f"CASE WHEN {test} THEN '{_said(tip)}' END" for tip, test in (
+    ("marathon", "marathon > 0"), ("late", "d_late > 0.5"), ("tabs", "d_tabs > 0.5"), ("interruptions", "d_intr > 0.5"),
+    ("corrections", "d_back > 0.5"), ("fragmented", "d_frag > 0.4")))
+_STEADY = _said("steady")
 
 
 def scored_sql(source: str, name: str = "scored") -> str:
