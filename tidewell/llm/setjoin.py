@@ -149,10 +149,10 @@ def groups(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The lists a set is on: prefix shingles up to `MIDDLE`, hash groups beyond; around `MIDDLE`, both."""
-    out = [s[:prefix_size(s.size, percent)]] if s.size <= MIDDLE else []
-    if s.size * 100 > MIDDLE * percent:
+def list_keys(s: np.ndarray, percent: int, middle: int = MIDDLE) -> np.ndarray:
+    """The lists a set is on: prefix shingles up to size `middle`, hash groups beyond; around `middle`, both."""
+    out = [s[:prefix_size(s.size, percent)]] if s.size <= middle else []
+    if s.size * 100 > middle * percent:
         out.append(groups(s, percent))
     return np.concatenate(out)
 
@@ -163,7 +163,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(_signed(mixed(sums)).tolist())
 
 
-def _listed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _listed(docs: DataFrame, k: int, percent: int, middle: int) -> DataFrame:
     """doc_id, n, key1 and key2 (of the set), subsets (if there are at most `MOST_SUBSETS`) and lists, a row per document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -177,7 +177,7 @@ def _listed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 if s.size not in few:
                     few[s.size] = dropped(s.size, percent) <= 6 and subset_count(s.size, percent) <= MOST_SUBSETS
-                rows.append((i, s.size, *set_key(s), subsets(s, percent) if few[s.size] else [], _signed(list_keys(s, percent))))
+                rows.append((i, s.size, *set_key(s), subsets(s, percent) if few[s.size] else [], _signed(list_keys(s, percent, middle))))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "key1", "key2", "subsets", "lists"])
 
     return docs.mapInPandas(run, "doc_id long, n long, key1 long, key2 long, subsets array<struct<key:long,a:int>>, lists array<long>")
@@ -254,10 +254,13 @@ def _stars(small: DataFrame, percent: int) -> DataFrame:
         F.col("id").alias("a"), F.col("c.id").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included; null for a null doc_id)."""
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, middle: int = MIDDLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included; null for a null doc_id).
+
+    The result is the same for any `middle`. A large one suits documents that share few passages: it needs fewer lists.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    listed = saved(_listed(texts, k, percent), "listed")
+    listed = saved(_listed(texts, k, percent, middle), "listed")
     reps = saved(listed.where("n > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     counts = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("c")).collect()}
     limit = boundary(counts, percent)
@@ -280,12 +283,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, middle: int = MIDDLE) -> DataFrame:
     """The rows of `docs` whose document has the smallest doc_id of its group; of repeated rows of one id, one.
 
     Rows with a null doc_id stay.
     """
-    found = jaccard_components(docs, k, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+    found = jaccard_components(docs, k, percent, middle).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
     dropped_ids = saved(found.where("_least <> doc_id").select("doc_id"), "dropped")
     named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where(
         "doc_id IS NOT NULL AND count > 1").limit(1).count() else docs.where("doc_id IS NOT NULL")
