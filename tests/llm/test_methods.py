@@ -188,7 +188,7 @@ def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame([(s, lang, t, n) for s, lang, t, n in (
         ("a", "en", "x", 900), ("a", "de", "x", 100), ("b", "en", "y", 200), ("b", "de", "y", 300), ("c", "en", "x", 50), ("c", "de", "y", 70))],
         "source string, lang string, topic string, tokens long")
-    even = {"lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.6, "y": 0.4}}
+    even = {"lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.5, "y": 0.5}}
     got = mixing.rake(cells, rounds=12, targets={"source": {"a": 0.4, "b": 0.4, "c": 0.2}, **even}).collect()
     weight = {}
     for r in got:
