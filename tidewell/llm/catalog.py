@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 from tidewell.llm.registry import QUERIES, SQL, Query
 
-MODULES = ("syncmers", "toxicity", "setjoin", "prefixtree", "pii", "nbsvm", "mixing", "linededup", "warc", "decontaminate", "infill")
+MODULES = ("syncmers", "toxicity", "setjoin", "prefixtree", "pii", "nbsvm", "mixing", "linededup", "warc", "decontaminate", "infill", "wordruns", "langid")
 for _module in MODULES:
     importlib.import_module(f"tidewell.llm.{_module}")
 QUERIES["pipeline"] = corpus_pipeline.run
