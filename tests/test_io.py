@@ -79,7 +79,7 @@ def test_monitor_stream_equals_its_history(spark, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     history = spark.read.parquet(str(tmp_path / "history"))
-    assert set(history.columns) == {"user_id", "seq", "ts", "layer", "level", "category", "day", "batch"}
+    assert set(history.columns) == {"user_id", "seq", "ts", "layer", "level", "category", "day", "stream", "batch"}
     # Without any verdict every message fails safe to high or is a crisis.
     assert history.count() == sent.count()
     assert {r["level"] for r in history.select("level").distinct().collect()} == {"high", "crisis"}

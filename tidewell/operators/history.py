@@ -49,18 +49,22 @@ def gate_days(events: DataFrame, as_of: Column) -> DataFrame:
 
 def gate_from_days(days: DataFrame, settings: DataFrame) -> DataFrame:
     """The gate per user from its day rows. Users without events are neither gentle nor urgent."""
-    per_user = days.groupBy("user_id").agg(
-        F.sum("flagged").alias("streak"), F.max("crisis").alias("crisis"), F.bit_or("layer_bits").alias("bits"))
+    return gate_from_facts(days.groupBy("user_id").agg(
+        F.sum("flagged").alias("streak"), F.max("crisis").alias("crisis"), F.bit_or("layer_bits").alias("bits")), settings)
+
+
+def gate_from_facts(per_user: DataFrame, settings: DataFrame, how: str = "full_outer", also: Sequence[str] = ()) -> DataFrame:
+    """The gate from streak, crisis (0/1) and layer bits per user, and the users' toggles. `also` names columns to carry."""
     prefs = settings.select("user_id", F.col("toggles")["trend"].alias("trend"))
-    known = prefs.join(per_user, "user_id", "full_outer").select(
-        "user_id", F.coalesce("trend", F.lit(True)).alias("gate_ok"), F.coalesce("streak", F.lit(0)).alias("streak"),
+    known = per_user.join(prefs, "user_id", how).select(
+        "user_id", *also, F.coalesce("trend", F.lit(True)).alias("gate_ok"), F.coalesce("streak", F.lit(0)).alias("streak"),
         (F.coalesce("crisis", F.lit(0)) > 0).alias("crisis"), F.coalesce("bits", F.lit(0)).alias("bits"))
     layers = F.filter(F.array(*[F.lit(n) for n in (1, 2, 3, 4)]),
                       lambda n: F.getbit(F.col("bits"), n) == 1)
     all_three = F.col("bits").bitwiseAND(0b1110) == 0b1110
     content = F.col("bits").bitwiseAND(0b0110) != 0
     urgent = F.col("crisis") | (all_three & (F.col("streak") >= 4) & F.col("gate_ok"))
-    return known.select("user_id", "streak", layers.alias("layers"), urgent.alias("urgent"),
+    return known.select("user_id", *also, "streak", layers.alias("layers"), urgent.alias("urgent"),
                         ((content | (F.col("streak") >= 2)) & ~urgent).alias("gentle"))
 
 

@@ -13,11 +13,12 @@ from tidewell.operators.scan import LevelMatchers, scan_messages
 
 def monitor_stream(messages: DataFrame, matchers: Sequence[LevelMatchers],
                    verdicts: Callable[[SparkSession], DataFrame], settings: Callable[[SparkSession], DataFrame],
-                   history_path: str, checkpoint: str):
+                   history_path: str, checkpoint: str, name: str = "monitor"):
     """Start the monitor: scanned and fused messages become history rows under `history_path`.
 
     The scan is stateless. Each micro-batch writes its rows to a folder of its own, which a replay
-    overwrites, so a lost executor or a restart neither drops nor doubles rows. Text is not written.
+    overwrites whole, so a lost executor or a restart neither drops nor doubles rows. Streams that share a history need
+    names of their own. Text is not written. `gate.gate_stream` follows the history written here.
     """
     scanned = scan_messages(messages, matchers)
 
@@ -25,7 +26,8 @@ def monitor_stream(messages: DataFrame, matchers: Sequence[LevelMatchers],
         spark = batch.sparkSession
         fused = fuse_verdicts(batch.drop("text"), verdicts(spark), settings(spark))
         rows = to_events(attribute_event(fused)).withColumn("day", F.to_date("ts"))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{history_path}/batch={batch_id}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(
+            f"{history_path}/stream={name}/batch={batch_id}")
 
     return (scanned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
