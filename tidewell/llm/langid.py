@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,7 +36,8 @@ from tidewell.llm.registry import query
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, NO_LANGUAGE, UNKNOWN = "▁", "und", 0
 ROUNDS, SMOOTH = 3, 0.1
-SLICE_CHARS, SLICE_WORDS, KEPT_WORDS = 1 << 22, 1 << 15, 1 << 19
+SLICE_CHARS, SLICE_WORDS, KEPT_WORDS = 1 << 22, 1 << 18, 1 << 19
+_CODE_BITS = 21
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,79 +65,109 @@ def vocabulary(path: str = VOCABULARY) -> tuple[str, ...]:
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text. Other numerals count as letters only beside one."""
     found = _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
-    return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
+
+
+class Trie(NamedTuple):
+    """All pieces as paths from node 0: edges sorted by (node, character), the node each leads to, and the piece that ends at a node (-1: none)."""
+
+    edges: np.ndarray
+    leads: np.ndarray
+    piece: np.ndarray
 
 
 @lru_cache(maxsize=4)
-def matcher(pieces: tuple[str, ...]) -> tuple[ahocorasick.Automaton, np.ndarray, np.ndarray]:
-    """The automaton of all pieces, their lengths, and the code points that are pieces of their own."""
-    automaton = ahocorasick.Automaton()
+def trie_of(pieces: tuple[str, ...]) -> Trie:
+    nodes: dict[tuple[int, int], int] = {}
+    ends = {}
     for i, piece in enumerate(pieces[1:], 1):
-        automaton.add_word(piece, i)
-    automaton.make_automaton()
-    single = np.array(sorted(ord(p) for p in pieces if len(p) == 1), dtype=np.uint32)
-    return automaton, np.array([max(1, len(p)) for p in pieces], dtype=np.int64), single
+        at = 0
+        for c in piece:
+            at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
+        ends[at] = i
+    edges = np.array([at << _CODE_BITS | code for at, code in nodes], dtype=np.int64)
+    order = np.argsort(edges)
+    piece = np.full(len(nodes) + 1, -1)
+    piece[list(ends)] = list(ends.values())
+    return Trie(edges[order], np.arange(1, len(nodes) + 1)[order], piece)
 
 
 class Lattice:
-    """All ways to cut some words into pieces: an edge for each piece at each place.
+    """All ways to cut words of one length into pieces.
 
-    The words stand behind each other, each after a separator and its mark. `before` and `at` are the places of the last character before an edge's
-    piece and of the piece's last one; `ends` are those of the words' last characters.
+    `steps` are (t, n, rows, piece): the words `rows` have the piece `piece` of n characters at character t; by t.
     """
 
-    def __init__(self, words: list[str], pieces: tuple[str, ...]):
-        automaton, lengths, single = matcher(pieces)
-        line = "\n" + MARK + ("\n" + MARK).join(words)
-        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        found = np.array(list(automaton.iter(line)), dtype=np.int64).reshape(-1, 2)
-        heads = np.flatnonzero(codes == 10)
-        alone = np.flatnonzero(~np.isin(codes, single) & (codes != 10))
-        at = np.concatenate((found[:, 0], alone))
-        piece = np.concatenate((found[:, 1], np.full(alone.size, UNKNOWN)))
-        self.size, self.heads, self.ends = codes.size, heads, np.append(heads[1:], codes.size) - 1
-        self.piece, self.at, self.before = piece, at, at - lengths[piece]
-        self.word = np.searchsorted(heads, at, "right") - 1
-
-    def sums(self, logp: np.ndarray, forward: bool = True) -> np.ndarray:
-        """Log of the sum over all cuts of what stands up to each place (or, backwards, after it).
-
-        logp: a value per edge, with a row per language or without.
+    def __init__(self, words: list[str], trie: Trie):
+        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes.reshape(len(words), -1).astype(np.int64)
+        self.rows, self.size = codes.shape
+        self.steps = []
+        for t in range(self.size):
+            rows, node, n = np.arange(self.rows), np.zeros(self.rows, dtype=np.int64), 0
+            while rows.size and t + n < self.size:
+                wanted = node << _CODE_BITS | codes[rows, t + n]
+                at = np.minimum(np.searchsorted(trie.edges, wanted), trie.edges.size - 1)
+                met = trie.edges[at] == wanted
+                n += 1
+                if n == 1:
+                    piece = np.where(met, trie.piece[trie.leads[at]], UNKNOWN)
+                    self.steps.append((t, 1, rows, np.where(piece < 0, UNKNOWN, piece)))
+                    rows, node = rows[met], trie.leads[at][met]
+                    continue
+                rows, node = rows[met], trie.leads[at][met]
+                piece = trie.piece[node]
+                ends = piece >= 0
+                if ends.any():
+                    self.steps.append((t, n, rows[ends], piece[ends]))
+
+    def sums(self, logp: np.ndarray, lang: np.ndarray | None = None, forward: bool = True) -> tuple[np.ndarray, bool]:
+        """Per word, place and language the sum over all cuts of what stands before that place (or, backwards, behind it), and whether it is a logarithm.
+
+        `lang`, if given, is the one language of each word. Products of all but long words fit plain numbers; logarithms take over where they might not.
         """
-        seed, out, source = (self.heads, self.at, self.before) if forward else (self.ends, self.before, self.at)
-        offset = self.at - self.heads[self.word] if forward else self.ends[self.word] - self.before
-        total = np.full((*logp.shape[:-1], self.size), -np.inf)
-        total[..., seed] = 0.0
-        order = np.lexsort((out, offset))
-        steps = offset[order]
-        cuts = np.flatnonzero(np.concatenate(([True], steps[1:] != steps[:-1]))) if steps.size else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cuts, np.append(cuts[1:], steps.size)):
-            edges = order[a:b]
-            to = out[edges]
-            opens = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            total[..., to[opens]] = np.logaddexp.reduceat(total[..., source[edges]] + logp[..., edges], opens, axis=-1)
-        return total
+        logs = -(self.size + 1) * logp.min(initial=0.0) > 700
+        plus, times, values = (np.logaddexp, np.add, logp) if logs else (np.add, np.multiply, np.exp(logp))
+        values = np.ascontiguousarray(values.T)
+        total = np.full((self.rows, self.size + 1, values.shape[1] if lang is None else 1), -np.inf if logs else 0.0)
+        total[:, 0 if forward else -1] = 0.0 if logs else 1.0
+        for t, n, rows, piece in self.steps if forward else reversed(self.steps):
+            source, out = (t, t + n) if forward else (t + n, t)
+            p = values[piece] if lang is None else values[piece, lang[rows]][:, None]
+            total[rows, out] = plus(total[rows, out], times(total[rows, source], p))
+        return total, logs
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Groups of words of one length, with their places in `words`."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for group in np.split(order, cuts) if len(words) else []:
+        for i in range(0, group.size, step := max(1, SLICE_WORDS // (int(lengths[group[0]]) + 1))):
+            part = group[i:i + step]
+            yield part, [words[j] for j in part]
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """Log probability of each word in each language, a row a word."""
-    out = np.empty((len(words), len(model.langs)))
-    for i in range(0, len(words), SLICE_WORDS):
-        lattice = Lattice(words[i:i + SLICE_WORDS], model.pieces)
-        out[i:i + SLICE_WORDS] = lattice.sums(model.logp[:, lattice.piece])[:, lattice.ends].T
+    out, trie = np.empty((len(words), len(model.langs))), trie_of(model.pieces)
+    for at, group in by_length(words):
+        total, logs = Lattice(group, trie).sums(model.logp)
+        out[at] = total[:, -1] if logs else np.log(total[:, -1])
     return out
 
 
 def expected(words: list[str], lang: np.ndarray, count: np.ndarray, model: Model) -> np.ndarray:
     """Expected uses of each piece in each language, over words of one language each."""
-    uses = np.zeros(model.logp.size)
-    for i in range(0, len(words), SLICE_WORDS):
-        lattice = Lattice(words[i:i + SLICE_WORDS], model.pieces)
-        of, n = lang[i:i + SLICE_WORDS][lattice.word], count[i:i + SLICE_WORDS][lattice.word]
-        p = model.logp[of, lattice.piece]
-        ahead, back = lattice.sums(p), lattice.sums(p, forward=False)
-        share = np.exp(ahead[lattice.before] + p + back[lattice.at] - ahead[lattice.ends][lattice.word])
-        uses += np.bincount(of * model.logp.shape[1] + lattice.piece, weights=share * n, minlength=uses.size)
+    uses, trie = np.zeros(model.logp.size), trie_of(model.pieces)
+    for at, group in by_length(words):
+        lattice, of = Lattice(group, trie), lang[at]
+        (ahead, logs), (back, _) = lattice.sums(model.logp, of), lattice.sums(model.logp, of, forward=False)
+        ahead, back = (x[:, :, 0] if logs else np.log(x[:, :, 0], where=x[:, :, 0] > 0, out=np.full(x.shape[:2], -np.inf)) for x in (ahead, back))
+        for t, n, rows, piece in lattice.steps:
+            share = np.exp(ahead[rows, t] + model.logp[of[rows], piece] + back[rows, t + n] - ahead[rows, -1])
+            uses += np.bincount(of[rows] * model.logp.shape[1] + piece, weights=share * count[at][rows], minlength=uses.size)
     return uses.reshape(model.logp.shape)
 
 
