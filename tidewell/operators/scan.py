@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewell.functions.levels import level_name
 from tidewell.functions.sizing import collect_bounded, lookup_join, spread_small
 from tidewell.functions.text import (
-    bounded_phrases, hinted, inside_any, literal_starts, match_spans, near, no_spans, normalize_text,
+    bind, bounded_phrases, hinted, inside_any, literal_starts, match_spans, near, no_spans, normalize_text,
     phrase_pattern,
 )
 from tidewell.operators import fuzzy, guards, lexicon as lex
@@ -79,11 +79,24 @@ _THREAT = hinted(guards.RECEIVED_THREAT, ["i", "yo", "u ", "go", "ki", "wa", "no
 _MUNDANE = hinted(guards.MUNDANE, list("abcdefghklmnpqrstvw"))
 
 
-def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
+def literal_vocabulary(lexicon: Lexicon) -> DataFrame:
+    """(severity, category, use, phrase): exact phrases, roots, actions and targets of a lexicon, as a table of any size."""
+    phrases = lexicon.phrases
+    exact = phrases.where(F.col("slot") == "exact").select(
+        "severity", "category", F.lit("exact").alias("use"), F.lower("phrase").alias("phrase"))
+    roots = lex.root_vocabulary(phrases).select("severity", "category", F.lit("roots").alias("use"), "phrase")
+    actions = lex.action_forms(phrases).select("severity", "category", F.lit("actions").alias("use"), "phrase")
+    targets = phrases.where(F.col("slot") == "person_targets").select(
+        "severity", "category", F.lit("targets").alias("use"), F.lower("phrase").alias("phrase"))
+    return reduce(DataFrame.unionByName, [exact, roots, actions, targets]).distinct()
+
+
+def load_matchers(lexicon: Lexicon, literals: bool = True) -> list[LevelMatchers]:
     """Matchers per level from the lexicon tables, which must be small.
 
     A template compiled from its slots needs no pattern pass of its own in the gate: the phrases of
     its last required slot stand for it. One that brings its own regex may match other words.
+    Without `literals` the phrases of `literal_vocabulary` stay a table, for `scan_messages` to join, and may be any number.
     """
     patterns, phrases = lexicon.patterns.coalesce(1), lexicon.phrases.coalesce(1)
     required = lexicon.slots.where(F.col("slot").isin(list(guards.REQUIRED_SLOTS)))
@@ -100,6 +113,9 @@ def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
         key = (row["severity"], row["category"])
         return levels.setdefault(key, LevelMatchers(row["severity"], row["category"], False))
 
+    if not literals:
+        for row in collect_bounded(lexicon.phrases.select("severity", "category").distinct(), MAX_LEXICON_ROWS, "lexicon levels"):
+            level(row)
     for row in rows:
         entry = level(row)
         entry.bypass = entry.bypass or bool(row["bypass"])
@@ -111,17 +127,11 @@ def load_matchers(lexicon: Lexicon) -> list[LevelMatchers]:
                 entry.anchored.add(entry.templates[-1])
         elif row["kind"] == "negative":
             entry.negative.append(_flagged(row["regex"]))
-    exact = phrases.where(F.col("slot") == "exact").select(
-        "severity", "category", F.lit("exact").alias("use"), F.lower("phrase").alias("phrase"))
-    roots = lex.root_vocabulary(phrases).select("severity", "category", F.lit("roots").alias("use"), "phrase")
-    actions = lex.action_forms(phrases).select("severity", "category", F.lit("actions").alias("use"), "phrase")
-    targets = phrases.where(F.col("slot") == "person_targets").select(
-        "severity", "category", F.lit("targets").alias("use"), F.lower("phrase").alias("phrase"))
     anchor_slots = [F.struct(F.lit(c), F.lit(slot)) for c, slot in sorted(set(last_slot.values()))]
     anchors = phrases.where(F.struct("category", "slot").isin(anchor_slots) if anchor_slots else F.lit(False)).select(
         "severity", "category", F.lit("anchors").alias("use"), F.lower("phrase").alias("phrase"))
-    words = reduce(DataFrame.unionByName, [exact, roots, actions, targets, anchors]).distinct()
-    for row in collect_bounded(words, MAX_LEXICON_ROWS, "lexicon_phrase"):
+    words = anchors.unionByName(literal_vocabulary(Lexicon(patterns, phrases, lexicon.slots))) if literals else anchors
+    for row in collect_bounded(words.distinct(), MAX_LEXICON_ROWS, "lexicon_phrase"):
         getattr(level(row), row["use"]).append(row["phrase"])
     return [levels[key] for key in sorted(levels)]
 
@@ -171,22 +181,122 @@ def keep_hit(hit: Column, text: Column, benign: Column, laugh: Column, serious:
     return ~inside_any(hit["s"], hit["e"], benign) & (serious | ~(exaggerated | explained))
 
 
+LITERAL_TYPE = "array<struct<severity:int,category:string,use:string,s:int,e:int,t:string,spaced:boolean>>"
+_TOKENS = r"(?U)(?:\w+|[^\w\s])\s*"  # words and single signs, with the space behind them
+
+
+def _grams(norm: Column, lengths: Sequence[int]) -> Column:
+    """array<struct<phrase, s, e, open, shut, spaced>>: every run of as many tokens as some phrase has, with its place in the text.
+
+    open and shut say that no word character stands right before and right behind, spaced that a space stands behind.
+    """
+    def whole(tokens: Column) -> Column:
+        def plain(i: Column) -> Column:
+            return F.rtrim(F.get(tokens, i)["t"])
+
+        def word(i: Column) -> Column:
+            return F.coalesce(plain(i).rlike(r"(?U)\w"), F.lit(False))
+
+        def run(i: Column, n: int) -> Column:
+            last = i + (n - 1)
+            head = F.array_join(F.transform(F.slice(tokens, i + 1, n - 1), lambda t: t["t"]), "") if n > 1 else F.lit("")
+            end = F.get(tokens, last)["s"] + F.length(plain(last))
+            glued = (i > 0) & (plain(i - 1) == F.get(tokens, i - 1)["t"])
+            return F.struct(F.concat(head, plain(last)).alias("phrase"), F.get(tokens, i)["s"].alias("s"), end.alias("e"),
+                            (~(F.coalesce(glued, F.lit(False)) & word(i - 1))).alias("open"),
+                            (~(word(last + 1) & (F.get(tokens, last)["e"] == end))).alias("shut"), (F.get(tokens, last)["e"] > end).alias("spaced"))
+
+        def runs(n: int) -> Column:
+            found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: run(i, n))
+            return F.when(F.size(tokens) >= n, found)
+        return F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths])))
+    return bind(match_spans(norm, _TOKENS), whole)
+
+
+def literal_spans(texts: DataFrame, key: Sequence[str], norm: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, hash of the text, literal spans): all places of all phrases, by joining token runs with the vocabulary.
+
+    The scale-out form of the literal patterns. Runs of the lengths that occur in the vocabulary are spelled out and joined with it by their text, a phrase that may stand
+    in any number of texts being spread; what matches is gathered per text. A phrase counts where no word character touches its ends.
+    """
+    size = F.size(F.filter(F.split("phrase", r"(?U)(?<=\W)|(?=\W)"), lambda p: F.trim(p) != ""))
+    table = vocabulary.where(F.length("phrase") > 0).groupBy("phrase").agg(F.collect_set(F.struct("severity", "category", "use")).alias("_uses"))
+    shape = table.agg(F.collect_set(size).alias("lengths"), F.max((F.trim("phrase") != F.col("phrase")).cast("int")).alias("edges")).first()
+    if shape["edges"]:
+        raise ValueError("phrases with a space at an end cannot be joined; trim them")
+    lengths = sorted(shape["lengths"])
+    empty = texts.select(*key, F.xxhash64(norm).alias("_text"), F.lit(None).cast(LITERAL_TYPE).alias("_literal")).where(F.lit(False))
+    if not lengths:
+        return empty
+    runs = texts.select(*key, F.xxhash64(norm).alias("_text"), F.inline(_grams(F.col(norm), lengths)))
+    starts, ends = F.col("phrase").rlike(r"(?U)^\w"), F.col("phrase").rlike(r"(?U)\w$")
+    met = lookup_join(runs, table, ["phrase"], ["_text", "s"], how="inner").where((starts | F.col("open")) & (ends | F.col("shut")))
+    flat = met.select(*key, "_text", "s", "e", F.col("phrase").alias("t"), "spaced", F.inline("_uses"))
+    return flat.groupBy(*key, "_text").agg(F.collect_set(F.struct("severity", "category", "use", "s", "e", "t", "spaced")).cast(LITERAL_TYPE).alias("_literal"))
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans sorted by start and then longest first, those a search from the left takes: none begins inside the one before."""
+    start = F.struct(F.lit(0).alias("to"), no_spans().alias("kept"))
+
+    def take(state: Column, x: Column) -> Column:
+        return F.when(x["s"] >= state["to"], F.struct(x["e"].alias("to"), F.concat(state["kept"], F.array(x)).alias("kept"))).otherwise(state)
+    return F.aggregate(spans, start, take, lambda state: state["kept"])
+
+
+def _sorted_spans(found: Column) -> Column:
+    by = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("less"), x["t"].alias("t")))))
+    return F.transform(by, lambda x: F.struct(x["s"].alias("s"), (-x["less"]).alias("e"), x["t"].alias("t")))
+
+
+def joined_spans(literal: Column, level: LevelMatchers) -> Column:
+    """The spans a level's exact, root and pair patterns find, from the joined spans of a text."""
+    def of(use: str) -> Column:
+        return F.filter(literal, lambda x: (x["severity"] == level.severity) & (x["category"] == level.category) & (x["use"] == use))
+
+    def pairs(both: Column) -> Column:
+        return F.flatten(F.transform(both["actions"], lambda a: F.transform(
+            F.filter(both["targets"], lambda t: a["spaced"] & (t["s"] == a["e"] + 1)),
+            lambda t: F.struct(a["s"].alias("s"), a["e"].alias("mid"), t["e"].alias("e"), F.concat(a["t"], F.lit(" "), t["t"]).alias("t")))))
+
+    def longest(found: Column) -> Column:
+        # Longest action first, then longest target
+        by = F.array_sort(F.transform(found, lambda x: F.struct(
+            x["s"].alias("s"), (-x["mid"]).alias("less"), (-x["e"]).alias("shorter"), x["t"].alias("t"))))
+        return F.transform(by, lambda x: F.struct(x["s"].alias("s"), (-x["shorter"]).alias("e"), x["t"].alias("t")))
+    acts = F.struct(of("actions").alias("actions"), of("targets").alias("targets"))
+    # An action is followed by white space, so it needs no word edge of its own; a joined one has it all the same
+    found = F.flatten(F.array(_apart(_sorted_spans(of("exact"))), _apart(_sorted_spans(of("roots"))), _apart(longest(bind(acts, pairs)))))
+    return F.when(F.size(literal) > 0, found).otherwise(no_spans())
+
+
 def scan_messages(messages: DataFrame, matchers: Sequence[LevelMatchers], text: str = "text",
-                  words: DataFrame | None = None) -> DataFrame:
+                  words: DataFrame | None = None, vocabulary: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
     """Adds tier3, matched, categories, hits, level, level_name, joking_context, received_threat.
 
     `words` is an optional `word string` dictionary of real words that are never misspellings; it is
-    cut to the words that resemble a core word before use, so it may be large.
+    cut to the words that resemble a core word before use, so it may be large. `vocabulary` is that of a lexicon too large for
+    patterns (`literal_vocabulary`, with matchers loaded without literals): its phrases are found by a join, for which `key` names the
+    columns that tell messages apart. The guards are the same.
     """
     norm = F.col("_norm")
     stops = [*guards.STOP_WORDS, *(fuzzy.dictionary_lookalikes(words) if words is not None else [])]
     gates = [g for m in matchers for g in m.gate()]
     base = spread_small(messages).withColumn("_norm", normalize_text(text))
+    literal = F.lit(None).cast(LITERAL_TYPE)
+    if vocabulary is not None:
+        if not key:
+            raise ValueError("a vocabulary is joined by the messages' key; name its columns")
+        base = base.withColumn("_text", F.xxhash64("_norm"))
+        found_in = literal_spans(base, key, "_norm", vocabulary).select("_literal", F.col("_text").alias("_text_r"), *[F.col(k).alias(f"_r_{k}") for k in key])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key], F.col("_text") == F.col("_text_r"))
+        base, literal = base.join(found_in, same, "left"), F.coalesce("_literal", F.array().cast(LITERAL_TYPE))
+    has_literal = F.size(literal) > 0 if vocabulary is not None else F.lit(False)
     base = base.select(
         "*",
         laugh_spans(norm).alias("_laugh"),
         first_threat(norm).alias("_threat"),
-        _any_match(norm, gates).alias("_gate"),
+        (_any_match(norm, gates) | has_literal).alias("_gate"),
         fuzzy.may_misspell(norm).alias("_typo"),
     )
     joking = F.size("_laugh") > 0
@@ -200,7 +310,7 @@ def scan_messages(messages: DataFrame, matchers: Sequence[LevelMatchers], text:
     # Candidate spans first; the idiom patterns then run only on the few texts that have any.
     raw = [
         F.when(F.col("_gate") & (F.col("_serious") | ~_any_match(norm, level.negative)),
-               F.flatten(F.array(*[match_spans(norm, p) for p in level.patterns()])))
+               F.flatten(F.array(*[match_spans(norm, p) for p in level.patterns()], *([joined_spans(literal, level)] if vocabulary is not None else []))))
         .otherwise(no_spans()).alias(f"_raw_{i}")
         for i, level in enumerate(matchers)
     ]
