@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, linededup, mixing, nbsvm, pii, prefixtree, setjoin, syncmers, warc
+from tidewell.llm import decontaminate, mixing, nbsvm, pii, prefixtree, setjoin, syncmers, warc
 from tidewell.llm.catalog import queries
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -88,46 +88,6 @@ def test_linked_sets_share_a_list():
                 assert np.intersect1d(setjoin.list_keys(base, percent), setjoin.list_keys(other, percent)).size
 
 
-def test_lines_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    lines = [r.asDict() for r in linededup.lines_of(docs).select("doc_id", "line_no", "id", "simhash").collect()]
-    texts = {r["doc_id"]: (r["text"] or "").split("\n") for r in docs.collect()}
-
-    def form(t):
-        return " ".join(w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[0-9]+", "0", t.lower())) if w)
-
-    def within(a, b):
-        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
-        if abs(len(a) - len(b)) > most:
-            return False
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            if min(row) > most:
-                return False
-        return row[-1] <= most
-    want_lines = {(d, i) for d, ls in texts.items() for i, t in enumerate(ls) if len(form(t).split()) >= 5}
-    assert {(x["doc_id"], x["line_no"]) for x in lines} == want_lines
-    by_id = {}
-    for x in lines:
-        f = form(texts[x["doc_id"]][x["line_no"]])
-        assert by_id.setdefault(x["id"], (f, x["simhash"])) == (f, x["simhash"])
-    ids = sorted(by_id)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i]
-             if bin((by_id[a][1] ^ by_id[b][1]) & (1 << 64) - 1).count("1") <= linededup.DISTANCE and within(by_id[a][0], by_id[b][0])]
-    group = groups_of(ids, pairs)
-    first = {}
-    for x in lines:
-        at, g = (x["doc_id"], x["line_no"]), group[x["id"]]
-        first[g] = min(first.get(g, at), at)
-    want = {(x["doc_id"], x["line_no"]): first[group[x["id"]]] for x in lines}
-    got = {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"]) for r in linededup.line_groups(docs).collect()}
-    assert got == want
-    assert pairs or len(set(want.values())) < len(want)
-
-
 def test_chat_tree_shares_prefixes(spark):
     rows = [(c, i, r, t) for c, turns in enumerate((
         [("system", "S"), ("user", "a"), ("assistant", "1")], [("system", "S"), ("user", "a"), ("assistant", "2"), ("user", "b")],

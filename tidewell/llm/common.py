@@ -20,6 +20,17 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as it takes to be none of `df`'s (names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -93,4 +104,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops)
 
 
-__all__ = ["LOWER", "UPPER", "bind", "components", "forget", "new_path", "read", "saved", "sha256_hex", "shared_folder", "text_of"]
+__all__ = ["LOWER", "UPPER", "bind", "components", "forget", "free_names", "new_path", "read", "saved", "sha256_hex", "shared_folder", "text_of"]
