@@ -1,7 +1,9 @@
 """Order-dependent device logic against plain loops, and streams against batches."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,46 @@ def test_throttles_equal_the_loop_whatever_the_chunks(alerts, alert_rows, chunk)
     assert {r["seq"] for r in devices.throttle_screen(alerts, chunk).collect()} == _screen(alert_rows)
 
 
+@pytest.mark.parametrize("rule", ["typed_urgent", "typed_any", "screen", "odd"])
+def test_next_firings_equal_the_loop(rule):
+    same, any_ = (int(x * US) for x in devices._QUIET.get(rule, (5.0, 9.0)))
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 80))
+        at = np.cumsum(rng.choice([0, US, 4 * US, 15 * US, 41 * US], n))
+        phrase, forced = rng.integers(0, 3, n), rng.random(n) < rng.choice([0.0, 0.2, 1.0])
+        got = devices._next_firings(at, phrase, forced, same, any_)
+        for i in range(n):
+            later = [j for j in range(i + 1, n) if not (phrase[j] == phrase[i] and at[j] < at[i] + same) and (forced[j] or at[j] >= at[i] + any_)]
+            assert got[i] == min(later, default=n)
+
+
+def test_one_phrase_very_often(spark):
+    rows = spark.range(100_000).selectExpr("1L AS device_id", "id AS seq", "timestamp_micros(id * 36000) AS ts", "false AS tier3", "2 AS level",
+                                           "'gentle' AS surface", "'the phrase' AS phrase")
+    start = time.time()
+    shown = sorted(r["seq"] for r in devices.throttle_screen(rows).collect())
+    assert time.time() - start < 60
+    want, last = [], None
+    for seq in range(100_000):
+        if last is None or seq * 36_000 >= last + 40 * US:
+            want.append(seq)
+            last = seq * 36_000
+    assert shown == want
+
+
+def test_throttle_over_years(spark):
+    """Alerts spread over many nodes of the tree, most nodes with a single one."""
+    rng, rows, at = random.Random(2), [], 0
+    for seq in range(600):
+        at += rng.choice([US, 5 * US, 20 * US, 3_600 * US, 86_400 * US, 40 * 86_400 * US])
+        rows.append((1, seq, at, rng.random() < 0.2, 2, "gentle", rng.choice("ab")))
+    alerts = spark.createDataFrame(rows, "device_id long, seq long, at long, tier3 boolean, level int, surface string, phrase string").withColumn(
+        "ts", F.timestamp_micros("at")).drop("at")
+    assert {r["seq"] for r in devices.throttle_screen(alerts, 60).collect()} == _screen(rows)
+    assert {r["seq"] for r in devices.throttle_alerts(alerts, 60).collect()} == _typed(rows)
+
+
 def _stream(spark, df, path, run, name, files=3, order="ts"):
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -8,6 +8,7 @@ is carried by one summary row per chunk, so the per-key window only ever sees ch
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -87,6 +88,18 @@ def with_running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]
     return joined.drop(_CHUNK, *scratch)
 
 
+def in_chunks(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], seconds: int = 3600) -> tuple[DataFrame, Window, Window]:
+    """`df` dealt out by key and chunk, with the windows over the rows of a chunk and over the chunks of a key.
+
+    For scans that need the previous row and running values at once: what is worked out inside a chunk, and one summary row per
+    chunk, come from this one exchange. Only the summaries are dealt out by key, and joined back. Both sides read the same dealt-out
+    rows if they use the same columns; a side that uses fewer reads fewer. Rows without a key or a time have no place in an order and are left out.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, _CHUNK]])
+    chunked = df.withColumn(_CHUNK, time_chunk(ts, seconds)).where(known).repartition(*keys, _CHUNK)
+    return chunked, Window.partitionBy(*keys, _CHUNK).orderBy(*order), Window.partitionBy(*keys).orderBy(_CHUNK)
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                 spread: Sequence[str], buckets: int = 32, rank: str | None = None) -> DataFrame:
     """The first `n` rows of every key under `order`, exact whatever the key sizes.

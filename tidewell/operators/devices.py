@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewell.functions.ordered import time_chunk, with_next, with_previous, with_running
+from tidewell.functions.ordered import in_chunks, time_chunk, with_next, with_previous
 
 MIN_CHARS = 8
 MAX_CHARS = 4000
@@ -51,23 +51,37 @@ def settle(snapshots: DataFrame, tie: Sequence[str] = (), seconds: float = SETTL
     """Texts that stayed unchanged for `seconds`, once each, unless equal to the last settled one.
 
     A text shorter than the minimum clears what was pending. One row per settled message, at the
-    poll that settled it.
+    poll that settled it. One pass: a chunk's summary says what its first stretch of equal polls needs to know of the chunks before.
     """
+    order, wait, us = ["ts", *tie], int(seconds * _MICROS), _micros("ts")
     polled = snapshots.withColumn("_text", trimmed(F.col("text")))
     polled = polled.withColumn("_text", F.when(F.length("_text") >= MIN_CHARS, F.col("_text")).otherwise(""))
-    seen = with_previous(polled, ["device_id"], "ts", ["_text"], tie, name="_prev")
-    changed = F.col("_prev").isNull() | (F.col("_text") != F.col("_prev._text"))
-    started = seen.withColumn("_started", F.when(changed, _micros("ts")))
-    running = with_running(started, ["device_id"], "ts", tie, maxes={"_since": "_started"})
-    waited = (_micros("ts") - F.col("_since")) >= int(seconds * _MICROS)
-    ripe = running.where(waited & (F.col("_text") != ""))
-    order = F.struct("ts", *tie)
+    chunked, within, along = in_chunks(polled, ["device_id"], "ts", order)
+    until_now, before = within.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    local = chunked.withColumns({"_before": F.lag("_text").over(within), "_polled": F.lag(us).over(within)})
+    # _own: since when the text stands, where a change inside the chunk tells
+    local = local.withColumn("_own", F.max(F.when(F.col("_text") != F.col("_before"), us)).over(until_now))
+    ripe_here = (us - F.col("_own") >= wait) & (F.col("_text") != "")
+    place = F.struct(*order)
+    chunks = local.groupBy("device_id", "_chunk").agg(
+        F.min_by("_text", place).alias("first"), F.min(us).alias("opens"), F.max_by("_text", place).alias("last"),
+        F.max(F.when(F.col("_own").isNull(), us)).alias("stays"), F.max("_own").alias("changed"), F.max(us).alias("ends"),
+        F.max_by("_text", F.when(ripe_here, place)).alias("settled"))
+    same = F.lag("last").over(along) == F.col("first")
+    chunks = chunks.withColumn("_new", F.when(same, None).otherwise(F.col("opens")))
+    # since when the text that opens the chunk stands, and whether it settles in the stretch that opens it
+    chunks = chunks.withColumn("_stands", F.coalesce("_new", F.max(F.coalesce("changed", "_new")).over(before)))
+    opening = F.when((F.col("stays") - F.col("_stands") >= wait) & (F.col("first") != ""), F.col("first"))
+    chunks = chunks.withColumn("_done", F.last(F.coalesce("settled", opening), ignorenulls=True).over(before))
+    carried = chunks.select("device_id", "_chunk", "_stands", "_done", F.lag("ends").over(along).alias("_ended"))
+    joined = local.join(carried, ["device_id", "_chunk"])
+    since = F.coalesce("_own", "_stands")
+    fresh = (us - since >= wait) & (F.col("_text") != "") & (F.coalesce("_polled", "_ended", since) - since < wait)
+    told = joined.withColumn("_fresh", F.when(fresh, F.col("_text")))
+    told = told.withColumn("_last", F.coalesce(F.last("_fresh", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)), "_done"))
     kept = [c for c in snapshots.columns if c not in ("device_id", "text")]
-    first = ripe.groupBy("device_id", "_since").agg(
-        F.min_by(F.struct(*kept, "_text"), order).alias("r")).select(
-        "device_id", *[F.col(f"r.{c}") for c in kept], F.col("r._text").alias("text"))
-    again = with_previous(first, ["device_id"], "ts", ["text"], tie, name="_last")
-    return again.where(F.col("_last").isNull() | (F.col("text") != F.col("_last.text"))).drop("_last")
+    return told.where(F.col("_fresh").isNotNull() & (F.col("_last").isNull() | (F.col("_fresh") != F.col("_last")))).select(
+        "device_id", *kept, F.col("_text").alias("text"))
 
 
 def display_phrase(hits: Column, tier3: Column) -> Column:
@@ -110,106 +124,145 @@ def gate_edges(polls: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
 # --- Alert throttles ----------------------------------------------------------------------
 #
 # Whether an alert fires depends only on the last one that fired, so a device's alerts form chains:
-# from each alert the next one to fire is fixed. A chunk is summarised by where a chain entering at
-# each of its first alerts leaves it. The summaries are folded per device, which yields the alert
-# every chunk starts from, and the chunks are then replayed independently.
+# from each alert the next one to fire is fixed. A chunk of time is a jump table: for each of its alerts that may be the first
+# to fire, where the chain through it leaves the chunk. Tables compose into tables of the same size, so they are combined in a tree of
+# `FAN` children a node, up to a table per device; the state each node starts from then goes down the tree, and the chunks are
+# replayed independently. No task sees more than one chunk's alerts or one node's children.
 
 _QUIET = {"typed_urgent": (30.0, 30.0), "typed_any": (4.0, 4.0), "screen": (40.0, 15.0)}
+FAN = 256
+_STATE = "last_at long, last_phrase string"
+_TABLE = "array<struct<at:bigint,phrase:string,forced:boolean,exit_at:bigint,exit_phrase:string>>"
+
+
+def _next_firings(at: np.ndarray, phrase: np.ndarray, forced: np.ndarray, same: int, any_: int) -> np.ndarray:
+    """For each alert, the index of the first later one that fires after it fired; len(at) when none does."""
+    n = len(at)
+    here = np.arange(n)
 
+    def changes(values: np.ndarray) -> np.ndarray:
+        """For each place, the next one with another value."""
+        ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+        return ends[np.searchsorted(ends, np.arange(len(values)), "right")]
 
-def _fires(at: np.ndarray, phrase: np.ndarray, forced: np.ndarray, last_at: int, last_phrase: str,
-           same: int, any_: int) -> np.ndarray:
-    """Which alerts would fire if the last one fired was (last_at, last_phrase)."""
-    repeated = (phrase == last_phrase) & (at < last_at + same)
-    return ~repeated & (forced | (at >= last_at + any_))
+    def first_other(start: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """The first of the places `among`, from `start` on, whose phrase differs from the alert's own."""
+        if not len(among):
+            return np.full(n, n)
+        named, beyond = phrase[among], np.append(among, n)
+        k = np.searchsorted(among, start)
+        inside = np.minimum(k, len(among) - 1)
+        k = np.where((k < len(among)) & (named[inside] == phrase), changes(named)[inside], k)
+        return beyond[k]
 
+    rested, unlike = np.searchsorted(at, at + max(same, any_)), np.searchsorted(at, at + same)
+    urgent = np.flatnonzero(forced)
+    again = np.append(urgent, n)[np.searchsorted(urgent, np.maximum(here + 1, unlike))]
+    return np.minimum.reduce([
+        np.maximum(rested, here + 1), first_other(here + 1, urgent),
+        first_other(np.maximum(here + 1, np.searchsorted(at, at + any_)), here), again])
 
-def _next_firing(at, phrase, forced, i: int, same: int, any_: int) -> int:
-    """Index of the first later alert that fires after alert i fired; len(at) when none does."""
-    j, n = i + 1, len(at)
-    while j < n:
-        if at[j] >= at[i] + same and at[j] >= at[i] + any_:
-            return j
-        if not (phrase[j] == phrase[i] and at[j] < at[i] + same) and (forced[j] or at[j] >= at[i] + any_):
-            return j
-        j += 1
-    return n
+
+def _in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values(["at", "seq"], kind="stable")
+    return pdf, pdf["at"].to_numpy(), pd.factorize(pdf["phrase"])[0], pdf["forced"].to_numpy(bool)
 
 
 def _summarise(same: int, any_: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], kind="stable")
-        at, phrase, forced = pdf["at"].to_numpy(), pdf["phrase"].to_numpy(object), pdf["forced"].to_numpy(bool)
-        n = len(at)
-        final = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            j = _next_firing(at, phrase, forced, i, same, any_)
-            if j < n:
-                final[i] = final[j]
-        head = at < at[0] + max(same, any_)
-        reach = min(n, int(head.sum()) + 1)
-        entries = [
-            {"at": int(at[i]), "phrase": phrase[i], "forced": bool(forced[i]),
-             "exit_at": int(at[final[i]]), "exit_phrase": phrase[final[i]]} for i in range(reach)]
-        return pd.DataFrame({"device_id": [pdf["device_id"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
-                             "entries": [entries]})
+        pdf, at, phrase, forced = _in_order(pdf)
+        after = np.append(_next_firings(at, phrase, forced, same, any_), len(at))
+        last = np.where(after < len(at), after, np.arange(len(after)))
+        while (last[last] != last).any():
+            last = last[last]
+        reach = min(len(at), int((at < at[0] + max(same, any_)).sum()) + 1)
+        words = pdf["phrase"].to_numpy(object)
+        table = [{"at": int(at[i]), "phrase": words[i], "forced": bool(forced[i]), "exit_at": int(at[last[i]]), "exit_phrase": words[last[i]]}
+                 for i in range(reach)]
+        return pd.DataFrame({"device_id": [pdf["device_id"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]], "entries": [table]})
+    return run
+
+
+def _through(tables: list, states: set, same: int, any_: int) -> list[dict]:
+    """Where each state leads, before each of the tables in turn and behind the last. A state is (at, phrase) of the last alert fired, or None."""
+    steps, leads = [{s: s for s in states}], {s: s for s in states}
+    for table in tables:
+        at = np.array([e["at"] for e in table])
+        words = np.array([e["phrase"] for e in table], dtype=object)
+        forced = np.array([e["forced"] for e in table], dtype=bool)
+        out = {}
+        for state in set(leads.values()):
+            if state is None:
+                first = 0
+            else:
+                fires = ~((words == state[1]) & (at < state[0] + same)) & (forced | (at >= state[0] + any_))
+                first = int(fires.argmax()) if fires.any() else None
+            out[state] = state if first is None else (int(table[first]["exit_at"]), table[first]["exit_phrase"])
+        leads = {s: out[now] for s, now in leads.items()}
+        steps.append(dict(leads))
+    return steps
+
+
+def _compose(same: int, any_: int):
+    """The table of a node from those of its children: a child that lets nothing fire ends so long before the next one's first alert that this one fires."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        tables = list(pdf["entries"])
+        entries = [(dict(e), tables[1:]) for e in tables[0]] + [(dict(e), tables[2:]) for t in tables[1:2] for e in t[:1]]
+        for rest in (tables[1:], tables[2:]):
+            same_rest = [e for e, r in entries if len(r) == len(rest)]
+            ends = _through(rest, {(int(e["exit_at"]), e["exit_phrase"]) for e in same_rest}, same, any_)[-1]
+            for e in same_rest:
+                e["exit_at"], e["exit_phrase"] = ends[int(e["exit_at"]), e["exit_phrase"]]
+        return pd.DataFrame({"device_id": [pdf["device_id"].iloc[0]], "_node": [pdf["_node"].iloc[0]], "entries": [[e for e, _ in entries]]})
+    return run
+
+
+def _descend(same: int, any_: int, part: str):
+    """The state each child starts from, given the state (if any) its node starts from."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(part)
+        entry = None
+        if "last_at" in pdf.columns and not pd.isna(pdf["last_at"].iloc[0]):
+            entry = (int(pdf["last_at"].iloc[0]), pdf["last_phrase"].iloc[0])
+        steps = [s[entry] for s in _through(list(pdf["entries"])[:-1], {entry}, same, any_)]
+        return pd.DataFrame({
+            "device_id": pdf["device_id"], part: pdf[part], "last_at": pd.array([s[0] if s else None for s in steps], "Int64"),
+            "last_phrase": [s[1] if s else None for s in steps]})
     return run
 
 
 def _replay(same: int, any_: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], kind="stable")
-        at, phrase, forced = pdf["at"].to_numpy(), pdf["phrase"].to_numpy(object), pdf["forced"].to_numpy(bool)
-        last_at, last_phrase = pdf["last_at"].iloc[0], pdf["last_phrase"].iloc[0]
-        fired = np.zeros(len(at), bool)
-        start = 0
-        if not pd.isna(last_at):
-            opening = np.flatnonzero(_fires(at, phrase, forced, int(last_at), last_phrase, same, any_))
+        pdf, at, phrase, forced = _in_order(pdf)
+        after = _next_firings(at, phrase, forced, same, any_)
+        fired, start = np.zeros(len(at), bool), 0
+        if not pd.isna(pdf["last_at"].iloc[0]):
+            last_at, again = int(pdf["last_at"].iloc[0]), (pdf["phrase"] == pdf["last_phrase"].iloc[0]).to_numpy(bool)
+            opening = np.flatnonzero(~(again & (at < last_at + same)) & (forced | (at >= last_at + any_)))
             start = int(opening[0]) if len(opening) else len(at)
         while start < len(at):
             fired[start] = True
-            start = _next_firing(at, phrase, forced, start, same, any_)
+            start = after[start]
         return pdf.loc[fired, ["device_id", "seq"]]
     return run
 
 
-def _entry_states(summaries: DataFrame, same: int, any_: int, device_type: str) -> DataFrame:
-    """The last fired alert before every chunk, folded over the chunk summaries of a device."""
-    state = "struct<at:bigint,phrase:string>"
-    rows = F.array_sort(F.collect_list(F.struct("_chunk", "entries")))
-    per_device = summaries.groupBy("device_id").agg(rows.alias("_chunks"))
-
-    def follow(acc: Column, chunk: Column) -> Column:
-        now = acc["now"]
-
-        def fires(e: Column) -> Column:
-            repeated = (e["phrase"] == now["phrase"]) & (e["at"] < now["at"] + same)
-            return now.isNull() | (~repeated & (e["forced"] | (e["at"] >= now["at"] + any_)))
-
-        first = F.get(F.filter(chunk["entries"], fires), F.lit(0))
-        after = F.when(first.isNotNull(), F.struct(
-            first["exit_at"].alias("at"), first["exit_phrase"].alias("phrase")).cast(state)).otherwise(now)
-        step = F.struct(chunk["_chunk"].alias("_chunk"), now.alias("last"))
-        return F.struct(after.alias("now"), F.concat(acc["done"], F.array(step)).alias("done"))
-
-    start = F.struct(F.lit(None).cast(state).alias("now"),
-                     F.array().cast(f"array<struct<_chunk:bigint,last:{state}>>").alias("done"))
-    folded = F.aggregate("_chunks", start, follow, lambda acc: acc["done"])
-    return per_device.select("device_id", F.explode(folded).alias("c")).select(
-        "device_id", "c._chunk", F.col("c.last.at").alias("last_at"), F.col("c.last.phrase").alias("last_phrase"))
-
-
 def _fired(alerts: DataFrame, rule: str, chunk_seconds: int) -> DataFrame:
     """(device_id, seq) of the alerts that fire. `alerts`: device_id, seq, at, phrase, forced."""
     same, any_ = (int(s * _MICROS) for s in _QUIET[rule])
-    device_type = alerts.schema["device_id"].dataType.simpleString()
+    if chunk_seconds * _MICROS < max(same, any_):
+        raise ValueError("a chunk must be at least as long as the quiet time")
+    key = f"device_id {alerts.schema['device_id'].dataType.simpleString()}"
     chunked = alerts.withColumn("_chunk", F.floor(F.col("at") / F.lit(chunk_seconds * _MICROS)).cast("long"))
-    entry_type = "array<struct<at:bigint,phrase:string,forced:boolean,exit_at:bigint,exit_phrase:string>>"
-    summaries = chunked.groupBy("device_id", "_chunk").applyInPandas(
-        _summarise(same, any_), f"device_id {device_type}, _chunk long, entries {entry_type}")
-    states = _entry_states(summaries, same, any_, device_type)
-    return chunked.join(states, ["device_id", "_chunk"]).groupBy("device_id", "_chunk").applyInPandas(
-        _replay(same, any_), f"device_id {device_type}, seq long")
+    chunks = chunked.groupBy("device_id", "_chunk").applyInPandas(_summarise(same, any_), f"{key}, _chunk long, entries {_TABLE}").withColumn(
+        "_node", F.floor(F.col("_chunk") / FAN).cast("long"))
+    nodes = chunks.groupBy("device_id", "_node").applyInPandas(_compose(same, any_), f"{key}, _node long, entries {_TABLE}")
+    of_nodes = nodes.groupBy("device_id").applyInPandas(_descend(same, any_, "_node"), f"{key}, _node long, {_STATE}")
+    of_chunks = chunks.join(of_nodes, ["device_id", "_node"]).groupBy("device_id", "_node").applyInPandas(
+        _descend(same, any_, "_chunk"), f"{key}, _chunk long, {_STATE}")
+    return chunked.join(of_chunks, ["device_id", "_chunk"]).groupBy("device_id", "_chunk").applyInPandas(
+        _replay(same, any_), f"{key}, seq long")
 
 
 def throttle_alerts(alerts: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
@@ -300,14 +353,24 @@ def longest_gap(events: DataFrame, tie: Sequence[str] = ("seq",), report_seconds
 
 
 def late_minutes(ticks: DataFrame, tie: Sequence[str] = ("seq",)) -> DataFrame:
-    """Cumulative late-night minutes (00:00-05:00) and active minutes per device and tick."""
-    seen = with_previous(ticks, ["device_id"], "ts", ["ts"], tie, name="_prev")
-    step = F.coalesce(_micros("ts") - F.unix_micros(F.col("_prev.ts")), F.lit(0))
-    marked = seen.withColumns({"_late": F.when(F.hour("ts") < 5, step).otherwise(0), "_step": step})
-    running = with_running(marked, ["device_id"], "ts", tie, sums={"_lates": "_late", "_steps": "_step"})
-    return running.select(
-        *ticks.columns, (F.col("_lates") / (60.0 * _MICROS)).alias("late_night_min"),
-        (F.col("_steps") / (60.0 * _MICROS)).alias("active_minutes"))
+    """Cumulative late-night minutes (00:00-05:00) and active minutes per device and tick. One pass: a chunk's summary carries its last tick and its sums."""
+    us, late = _micros("ts"), F.hour("ts") < 5
+    chunked, within, along = in_chunks(ticks, ["device_id"], "ts", ["ts", *tie])
+    until_now, before = within.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    local = chunked.withColumn("_step", us - F.lag(us).over(within))
+    local = local.withColumn("_night", F.when(late, F.col("_step")))
+    chunks = local.groupBy("device_id", "_chunk").agg(
+        F.min(us).alias("opens"), F.max(us).alias("ends"), F.min("ts").alias("ts"), F.coalesce(F.sum("_step"), F.lit(0)).alias("steps"),
+        F.coalesce(F.sum("_night"), F.lit(0)).alias("nights"))
+    chunks = chunks.withColumn("_gap", F.coalesce(F.col("opens") - F.lag("ends").over(along), F.lit(0)))
+    chunks = chunks.withColumn("_dark", F.when(late, F.col("_gap")).otherwise(0))
+    carried = chunks.select(
+        "device_id", "_chunk", (F.coalesce(F.sum(F.col("steps") + F.col("_gap")).over(before), F.lit(0)) + F.col("_gap")).alias("_steps"),
+        (F.coalesce(F.sum(F.col("nights") + F.col("_dark")).over(before), F.lit(0)) + F.col("_dark")).alias("_nights"))
+    so_far = local.withColumns({"_sum": F.coalesce(F.sum("_step").over(until_now), F.lit(0)), "_dark_sum": F.coalesce(F.sum("_night").over(until_now), F.lit(0))})
+    return so_far.join(carried, ["device_id", "_chunk"]).select(
+        *ticks.columns, ((F.col("_nights") + F.col("_dark_sum")) / (60.0 * _MICROS)).alias("late_night_min"),
+        ((F.col("_steps") + F.col("_sum")) / (60.0 * _MICROS)).alias("active_minutes"))
 
 
 def app_spans(activations: DataFrame, tie: Sequence[str] = ("seq",), tick_seconds: int = 60) -> DataFrame:
@@ -336,19 +399,36 @@ def web_rhythm(ticks: DataFrame, tie: Sequence[str] = ("seq",), default_session:
     Visible time accrues between ticks; a blur ends a focus stretch. Rates divide by the visible hours,
     at least 0.08 h.
     """
-    seen = with_previous(ticks, ["device_id"], "ts", ["ts"], tie, name="_prev")
-    step = F.coalesce(_micros("ts") - F.unix_micros(F.col("_prev.ts")), F.lit(0))
-    marked = seen.withColumns({
-        "_on": F.when(F.col("visible"), step).otherwise(0),
-        "_late": F.when(F.col("visible") & (F.hour("ts") < 5), step).otherwise(0),
-        "_blur": F.col("blur").cast("int")})
-    running = with_running(marked, ["device_id"], "ts", tie, sums={"_blurs": "_blur"})
-    stretches = running.groupBy("device_id", (F.col("_blurs") - F.col("_blur")).alias("_stretch")).agg(
-        F.sum("_on").alias("on"), F.sum("_late").alias("late"), F.sum("_blur").alias("blurs"),
-        F.sum("keys").alias("keys"), F.sum("backspaces").alias("backs"))
-    total = stretches.groupBy("device_id").agg(
-        F.sum("on").alias("on"), F.sum("late").alias("late"), F.sum("blurs").alias("blurs"),
-        F.max("on").alias("longest"), F.sum("keys").alias("keys"), F.sum("backs").alias("backs"))
+    us = _micros("ts")
+    chunked, within, along = in_chunks(ticks, ["device_id"], "ts", ["ts", *tie])
+    until_now, before = within.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    local = chunked.withColumn("_step", F.coalesce(us - F.lag(us).over(within), F.lit(0)))
+    blur = F.col("blur").cast("int")
+    # The blur that ends a stretch belongs to it
+    local = local.withColumns({"_on": F.when(F.col("visible"), F.col("_step")).otherwise(0), "_blurs": F.sum(blur).over(until_now) - blur})
+    stretches = local.groupBy("device_id", "_chunk", "_blurs").agg(
+        F.sum("_on").alias("on"), F.sum(F.when(F.hour("ts") < 5, F.col("_on")).otherwise(0)).alias("late"), F.sum(blur).alias("blurs"),
+        F.sum("keys").alias("keys"), F.sum("backspaces").alias("backs"), F.min(us).alias("opens"), F.max(us).alias("ends"),
+        F.min_by(F.struct("visible", (F.hour("ts") < 5).alias("late")), F.struct("ts", *tie)).alias("first"))
+    chunks = stretches.groupBy("device_id", "_chunk").agg(
+        *[F.sum(c).alias(c) for c in ("on", "late", "blurs", "keys", "backs")], F.min("opens").alias("opens"), F.max("ends").alias("ends"),
+        F.min_by("first", "_blurs").alias("first"), F.min_by("on", "_blurs").alias("head"), F.max_by("on", F.when(F.col("blurs") == 0, F.col("_blurs"))).alias("tail"),
+        F.max(F.when((F.col("_blurs") > 0) & (F.col("blurs") > 0), F.col("on"))).alias("inner"))
+    gap = F.coalesce(F.col("opens") - F.lag("ends").over(along), F.lit(0))
+    chunks = chunks.withColumn("_gap", F.when(F.col("first.visible"), gap).otherwise(0))
+    # A stretch that crosses chunks is the tail of one, whole chunks without a blur, and the head of the one that ends it
+    chunks = chunks.withColumn("_nth", F.coalesce(F.sum((F.col("blurs") > 0).cast("int")).over(before), F.lit(0)))
+    parts = F.array(F.struct(F.col("_nth").alias("stretch"), (F.col("head") + F.col("_gap")).alias("on"), F.lit(True).alias("counts")),
+                    F.struct((F.col("_nth") + 1).alias("stretch"), F.when(F.col("blurs") > 0, F.coalesce("tail", F.lit(0))).alias("on"), F.lit(False).alias("counts")))
+    flat = chunks.select("device_id", "late", "blurs", "keys", "backs", "inner", "first", "_gap", F.col("on").alias("total"), F.inline(parts))
+    merged = flat.where("on IS NOT NULL").groupBy("device_id", "stretch").agg(
+        F.sum("on").alias("stretch_on"), F.max("inner").alias("inner"),
+        *[F.sum(F.when(F.col("counts"), value)).alias(name) for name, value in (
+            ("on", F.col("total") + F.col("_gap")), ("late", F.col("late") + F.when(F.col("first.late"), F.col("_gap")).otherwise(0)),
+            ("blurs", F.col("blurs")), ("keys", F.col("keys")), ("backs", F.col("backs")))])
+    total = merged.groupBy("device_id").agg(
+        *[F.sum(c).alias(c) for c in ("on", "late", "blurs", "keys", "backs")],
+        F.greatest(F.max("stretch_on"), F.max("inner")).alias("longest"))
     hours = F.greatest(F.col("on") / (3600.0 * _MICROS), F.lit(0.08))
     tab = F.least(F.lit(120.0), F.col("blurs") / hours)
     return total.select(

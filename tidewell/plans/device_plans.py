@@ -65,12 +65,28 @@ def alerts(spark, sf):
     return _view(spark, sf, _ALERTS)
 
 
-@query("throttle_alerts")
+# The alerts of a device one after the other, each judged by the state the ones before left.
+_LINED_UP = f"a AS (SELECT *, {_US} AS us, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq) AS n FROM ({_ALERTS.replace("timestamp_micros", "make_timestamp")} events) WHERE {{able}})"
+
+
+@query("throttle_alerts", f"""WITH RECURSIVE {_LINED_UP.format(able="tier3 OR surface IN ('urgent', 'gentle')")},
+  j AS (SELECT device_id, seq, surface, tier3, n, true AS shown, us + 4000000 AS quiet_until, CASE WHEN tier3 OR surface = 'urgent' THEN us + 30000000 ELSE -1 END AS urgent_until FROM a WHERE n = 1
+    UNION ALL SELECT k.device_id, k.seq, k.surface, k.tier3, k.n, k.shown, CASE WHEN k.shown THEN k.us + 4000000 ELSE k.quiet_until END,
+      CASE WHEN k.shown AND k.urgent THEN k.us + 30000000 ELSE k.urgent_until END
+    FROM (SELECT a.*, a.tier3 OR a.surface = 'urgent' AS urgent, j.quiet_until, j.urgent_until,
+      CASE WHEN a.tier3 OR a.surface = 'urgent' THEN a.us >= j.urgent_until ELSE a.us >= j.quiet_until END AS shown
+      FROM j JOIN a ON a.device_id = j.device_id AND a.n = j.n + 1) k)
+  SELECT device_id, seq, surface, tier3 FROM j WHERE shown""")
 def throttle_alerts(spark, sf):
     return ops.throttle_alerts(alerts(spark, sf)).select("device_id", "seq", "surface", "tier3")
 
 
-@query("throttle_screen")
+@query("throttle_screen", f"""WITH RECURSIVE {_LINED_UP.format(able="level >= 1 AND (tier3 OR surface <> 'none')")},
+  j AS (SELECT device_id, seq, phrase, tier3, n, true AS shown, us AS last_at, phrase AS last_phrase FROM a WHERE n = 1
+    UNION ALL SELECT k.device_id, k.seq, k.phrase, k.tier3, k.n, k.shown, CASE WHEN k.shown THEN k.us ELSE k.last_at END, CASE WHEN k.shown THEN k.phrase ELSE k.last_phrase END
+    FROM (SELECT a.*, j.last_at, j.last_phrase, (a.phrase <> j.last_phrase OR a.us >= j.last_at + 40000000) AND (a.tier3 OR a.us >= j.last_at + 15000000) AS shown
+      FROM j JOIN a ON a.device_id = j.device_id AND a.n = j.n + 1) k)
+  SELECT device_id, seq, phrase, tier3 FROM j WHERE shown""")
 def throttle_screen(spark, sf):
     return ops.throttle_screen(alerts(spark, sf)).select("device_id", "seq", "phrase", "tier3")
 
