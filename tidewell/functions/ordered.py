@@ -88,6 +88,17 @@ def with_running(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]
     return joined.drop(_CHUNK, *scratch)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as it takes to be none of `df`'s."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_chunks(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], seconds: int = 3600) -> tuple[DataFrame, Window, Window]:
     """`df` dealt out by key and chunk, with the windows over the rows of a chunk and over the chunks of a key.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.types import AtomicType
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -34,6 +35,21 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: list[str], spread: list[str]
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_anti(big: DataFrame, gone: DataFrame, on: list[str], buckets: int = 16) -> DataFrame:
+    """The rows of a big frame, skewed on `on` or not, whose key is not in `gone`.
+
+    A small `gone` is broadcast, so the big side stays where it is. Otherwise the big side is split over `buckets` salts by all its columns, and
+    `gone` is repeated once per salt: one key's rows go to as many tasks. Rows with a null key stay.
+    """
+    gone = gone.select(*on).distinct()
+    if estimated_bytes(gone) <= BROADCAST_LIMIT_BYTES:
+        return big.join(F.broadcast(gone), on, "left_anti")
+    plain = [f.name for f in big.schema if isinstance(f.dataType, AtomicType)]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int"))
+    repeated = gone.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted.join(repeated, [*on, "_salt"], "left_anti").drop("_salt").select(*big.columns)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread an input that would leave cores idle; anything larger stays where it is, unshuffled.
 

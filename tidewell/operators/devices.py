@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewell.functions.ordered import in_chunks, time_chunk, with_next, with_previous
+from tidewell.functions.ordered import free_names, in_chunks, time_chunk, with_next, with_previous
 
 MIN_CHARS = 8
 MAX_CHARS = 4000
@@ -95,21 +95,20 @@ def apply_snooze(alerts: DataFrame, snoozes: DataFrame, tie: Sequence[str] = ("s
                  chunk_seconds: int = 3600) -> DataFrame:
     """Alerts outside every snooze [start, until) of their device; crises are dropped too.
 
-    A snooze is spelled out over the time chunks it covers, which turns the range condition into an
-    equi-join on device and chunk.
+    An alert is snoozed if the latest end of the snoozes begun by then lies ahead of it. That is a running maximum, carried across chunks of
+    time by one value a chunk, so a snooze is one row however long it lasts. An alert without a device or a time is nobody's to snooze and stays.
     """
-    width = chunk_seconds * _MICROS
-    spans = snoozes.where(F.col("start") < F.col("until")).select(
-        "device_id", "start", "until",
-        F.explode(F.sequence(F.floor(_micros("start") / F.lit(width)).cast("long"),
-                             F.floor((_micros("until") - 1) / F.lit(width)).cast("long"))).alias("_chunk"))
-    # Overlapping snoozes of one chunk are merged, so an alert meets one row at most.
-    merged = spans.groupBy("device_id", "_chunk").agg(
-        F.collect_set(F.struct("start", "until")).alias("_quiet"))
-    return alerts.withColumn("_chunk", time_chunk("ts", chunk_seconds)).join(
-        merged, ["device_id", "_chunk"], "left").where(
-        ~F.coalesce(F.exists("_quiet", lambda q: (F.col("ts") >= q["start"]) & (F.col("ts") < q["until"])), F.lit(False))
-    ).drop("_chunk", "_quiet")
+    until, said = free_names(alerts, "_until", "_said")
+    rows = alerts.withColumn(until, F.lit(None).cast("timestamp"))
+    begun = snoozes.where(F.col("start") < F.col("until")).select("device_id", F.col("start").alias("ts"), F.col("until").alias(until))
+    chunked, within, along = in_chunks(rows.unionByName(begun, allowMissingColumns=True), ["device_id"], "ts", ["ts"], chunk_seconds)
+    # Rows of one instant see each other's snoozes, whatever their order
+    local = chunked.withColumn(said, F.max(until).over(within.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("device_id", "_chunk").agg(F.max(until).alias("_ends"))
+    carried = ends.select("device_id", "_chunk", F.max("_ends").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    joined = local.join(carried, ["device_id", "_chunk"]).where(F.col(until).isNull())
+    awake = joined.where(~F.coalesce(F.greatest(said, "_before") > F.col("ts"), F.lit(False)))
+    return awake.select(*alerts.columns).union(alerts.where(F.col("device_id").isNull() | F.col("ts").isNull()))
 
 
 def gate_edges(polls: DataFrame, tie: Sequence[str] = ()) -> DataFrame:

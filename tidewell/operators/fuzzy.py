@@ -7,14 +7,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.functions.sizing import collect_bounded
+from tidewell.functions.sizing import collect_bounded, lookup_anti, lookup_join
 from tidewell.functions.text import hinted, inside_any, match_spans
 from tidewell.operators import guards
 
 FOUND_TYPE = "array<struct<word:string,level:int>>"
 SPELT_TYPE = "array<struct<word:string,level:int,s:int,e:int>>"
 TOKEN = r"[a-z']+"
-_LETTERS = "abcdefghijklmnopqrstuvwxyz'"
 _WORD_TYPE = ("array<struct<word:string,level:int,short:boolean,folded:string,"
               "swaps:array<string>,folded_swaps:array<string>>>")
 
@@ -154,25 +153,38 @@ def dictionary_lookalikes(words: DataFrame, limit: int = 100_000) -> list[str]:
     return [r["word"] for r in collect_bounded(near_core.select("word").distinct(), limit, "look-alike words")]
 
 
-def neighbourhood(words: Mapping[str, int] = guards.FUZZY_WORDS) -> list[tuple[str, str, int, int]]:
-    """(spelling, word, level, rank) for every string one edit from a word."""
-    rows = []
-    for rank, (word, level) in enumerate(words.items()):
-        forms = {word, *_swaps(word)}
-        for i in range(len(word) + 1):
-            forms.update(word[:i] + ch + word[i:] for ch in _LETTERS)
-        for i in range(len(word)):
-            forms.add(word[:i] + word[i + 1:])
-            forms.update(word[:i] + ch + word[i + 1:] for ch in _LETTERS)
-        rows.extend((form, word, level, rank) for form in sorted(forms))
-    return rows
+def deletions(word: Column) -> Column:
+    """The word and what is left of it without one of its characters."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word) > 0, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
 
 
-def within_one_edit(tokens: DataFrame, token: str, words: Mapping[str, int]) -> DataFrame:
-    """(token, word) pairs at most one edit apart, as an equi-join on the words' neighbourhood."""
+def swapped(left: Column, right: Column) -> Column:
+    """Whether two words differ by two neighbouring characters that changed places."""
+    def turned(i: Column) -> Column:
+        return F.concat(F.substring(left, F.lit(1), i - 1), F.substring(left, i + 1, F.lit(1)), F.substring(left, i, F.lit(1)), F.substring(left, i + 2, F.length(left)))
+    return (F.length(left) == F.length(right)) & (F.length(left) > 1) & F.exists(
+        F.sequence(F.lit(1), F.greatest(F.length(left) - 1, F.lit(1))), lambda i: turned(i) == right)
+
+
+def within_one_edit(tokens: DataFrame, token: str, words: Mapping[str, int] | DataFrame) -> DataFrame:
+    """The tokens with every word at most one edit away: word, level, rank.
+
+    `words` is a mapping or a table (word, level, rank) of any size. Words one edit apart share a form with one character left out, or one is such a
+    form of the other; so both sides spell these out, meet on them, and are then compared. Distinct tokens only are compared, a form that very many share is spread.
+    """
     spark = tokens.sparkSession
-    table = spark.createDataFrame(neighbourhood(words), "spelling string, word string, level int, rank int")
-    return tokens.join(F.broadcast(table), tokens[token] == table["spelling"]).drop("spelling")
+    table = words if isinstance(words, DataFrame) else spark.createDataFrame(
+        [(w, level, rank) for rank, (w, level) in enumerate(words.items())], "word string, level int, rank int")
+    by_form = table.withColumn("_form", F.explode(deletions(F.col("word")))).groupBy("_form").agg(
+        F.collect_set(F.struct("word", "level", "rank")).alias("_words"))
+    own = tokens.select(F.col(token).alias("_token")).where("_token IS NOT NULL").distinct()
+    met = lookup_join(own.withColumn("_form", F.explode(deletions(F.col("_token")))), by_form, ["_form"], ["_token"], how="inner")
+    pairs = met.select("_token", F.explode("_words").alias("_w")).distinct()
+    close = (F.levenshtein("_token", "_w.word", 1) >= 0) | swapped(F.col("_token"), F.col("_w.word"))
+    found = pairs.where(close).groupBy("_token").agg(F.collect_list("_w").alias("_found")).withColumnRenamed("_token", token)
+    return lookup_join(tokens, found, [token], [c for c in tokens.columns if c != token] or [token], how="inner").select(
+        *tokens.columns, F.inline("_found"))
 
 
 def tokens(messages: DataFrame, key: str, text: Column, shortest: int = 3) -> DataFrame:
@@ -185,4 +197,4 @@ def tokens(messages: DataFrame, key: str, text: Column, shortest: int = 3) -> Da
 def drop_real_words(tokens_df: DataFrame, token: str, words: DataFrame) -> DataFrame:
     """Tokens that are not real words; core words stay whatever the dictionary says."""
     guarded = words.where(~F.col("word").isin(list(guards.FUZZY_WORDS))).select(F.col("word").alias(token)).distinct()
-    return tokens_df.join(guarded, token, "left_anti")
+    return lookup_anti(tokens_df, guarded, [token])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.functions.ordered import with_running
-from tidewell.functions.sizing import lookup_join
+from tidewell.functions.sizing import lookup_anti, lookup_join
 
 # Endpoints open to everyone.
 PUBLIC_PATHS = (
@@ -107,16 +107,10 @@ def access_denied(requests: DataFrame, path: str = "path", uid: str = "resolved_
 
 def erase(tables: dict[str, DataFrame], erased: DataFrame, key: str = "user_id") -> dict[str, DataFrame]:
     """Every table without the erased users."""
-    gone = erased.select(key).distinct()
-    return {name: lookup_anti(df, gone, key) for name, df in tables.items()}
-
-
-def lookup_anti(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return df.join(gone, key, "left_anti")
+    return {name: lookup_anti(df, erased, [key]) for name, df in tables.items()}
 
 
 def reset_history(tables: dict[str, DataFrame], users: DataFrame, key: str = "user_id",
                   forgotten: Sequence[str] = ("daily", "events")) -> dict[str, DataFrame]:
     """Forgets learned days and events of the given users; settings and chat stay."""
-    gone = users.select(key).distinct()
-    return {name: lookup_anti(df, gone, key) if name in forgotten else df for name, df in tables.items()}
+    return {name: lookup_anti(df, users, [key]) if name in forgotten else df for name, df in tables.items()}

@@ -211,32 +211,71 @@ def top_hours(events: DataFrame, year: int, month: int, as_of: Column, n: int =
         "user_id", "pos", hour_label(F.col("hour")).alias("label"), "count")
 
 
-def top_apps(usage: DataFrame, settings: DataFrame, year: int, month: int, as_of: Column, n: int = 3) -> DataFrame:
-    """Most used apps of opted-in users in minutes; ties go to the app used first."""
+def _top_apps(usage: DataFrame, year: int, month: int, as_of: Column, n: int = 3) -> DataFrame:
     totals = _in_month(usage, F.col("day"), year, month, as_of).groupBy("user_id", "app").agg(
         F.sum("seconds").alias("seconds"), F.min("day").alias("_first"))
-    opted_in = settings.where("track_app_usage").select("user_id")
-    kept = totals.join(opted_in, "user_id", "left_semi")
-    top = top_per_key(kept, ["user_id"], [F.desc("seconds"), F.col("_first"), F.col("app")], n, spread=["app"], rank="pos")
+    top = top_per_key(totals, ["user_id"], [F.desc("seconds"), F.col("_first"), F.col("app")], n, spread=["app"], rank="pos")
     return top.select("user_id", "pos", "app", round_half_even(F.col("seconds") / 60).alias("minutes"))
 
 
+def top_apps(usage: DataFrame, settings: DataFrame, year: int, month: int, as_of: Column, n: int = 3) -> DataFrame:
+    """Most used apps of opted-in users in minutes; ties go to the app used first."""
+    opted_in = settings.where("track_app_usage").select("user_id")
+    return _top_apps(usage.join(opted_in, "user_id", "left_semi"), year, month, as_of, n)
+
+
+def month_facts(daily: DataFrame, events: DataFrame, year: int, month: int, as_of: Column, n: int = 3) -> DataFrame:
+    """Metrics, events, calm streak and busiest hours of the month in one row per user; one pass over each input.
+
+    Events become one row per user, day and hour, these and the tracked days one row per user and day, and a user's at most 31 of those one row.
+    """
+    day = F.to_date("ts")
+    hourly = _in_month(events, day, year, month, as_of).groupBy("user_id", day.alias("day"), F.hour("ts").alias("hour")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("level") == "crisis").alias("crises"),
+        F.max((severity_rank("level") >= 2).cast("int")).alias("flagged"), F.min("seq").alias("first"))
+    tracked = _in_month(daily, F.col("day"), year, month, as_of).select(
+        "user_id", "day", F.lit(1).alias("tracked"), F.col("mental_battery").alias("battery"), F.col("focus_score").alias("focus"))
+    heard = hourly.select("user_id", "day", "n", "crises", "flagged", F.struct("hour", "n", "first").alias("slot"))
+    days = heard.unionByName(tracked, allowMissingColumns=True).groupBy("user_id", "day").agg(
+        F.sum("tracked").alias("tracked"), F.sum("battery").alias("battery"), F.sum("focus").alias("focus"),
+        F.max("flagged").alias("flagged"), F.sum("n").alias("n"), F.sum("crises").alias("crises"), F.collect_list("slot").alias("slots"))
+    per_user = days.groupBy("user_id").agg(
+        F.coalesce(F.sum("tracked"), F.lit(0)).alias("days_tracked"),
+        round_half_even(F.sum("battery") / F.sum("tracked")).alias("avg_battery"), round_half_even(F.sum("focus") / F.sum("tracked")).alias("avg_focus"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("moments_count"), F.coalesce(F.sum("crises"), F.lit(0)).alias("crisis_count"),
+        F.array_sort(F.collect_list(F.struct("day", (F.coalesce("flagged", F.lit(0)) == 1).alias("flagged"), F.coalesce("tracked", F.lit(0)).alias("tracked")))).alias("_days"),
+        F.flatten(F.collect_list("slots")).alias("_slots"))
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def live(state: Column, d: Column) -> Column:
+        run = F.when(d["flagged"], F.lit(0).cast("long")).otherwise(state["run"] + d["tracked"])
+        return F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    def total(hour: Column) -> Column:
+        own = F.filter("_slots", lambda s: s["hour"] == hour)
+        count = F.aggregate(own, F.lit(0).cast("long"), lambda n, s: n + s["n"])
+        return F.struct((-count).alias("less"), F.array_min(F.transform(own, lambda s: s["first"])).alias("first"), hour.alias("hour"))
+
+    hours = F.array_sort(F.transform(F.array_distinct(F.transform("_slots", lambda s: s["hour"])), total))
+    top = F.transform(F.slice(hours, 1, n), lambda h, i: F.struct(
+        (i + 1).alias("pos"), hour_label(h["hour"]).alias("label"), (-h["less"]).alias("count")))
+    return per_user.select(
+        "user_id", "days_tracked", "avg_battery", "avg_focus", "moments_count", "crisis_count",
+        F.aggregate("_days", start, live, lambda state: state["best"]).alias("calm_streak_days"), F.when(F.size("_slots") > 0, top).alias("top_hours"))
+
+
 def monthly_wrap(users: DataFrame, daily: DataFrame, events: DataFrame, chat: DataFrame, archived: DataFrame,
                  usage: DataFrame, settings: DataFrame, year: int, month: int, as_of: Column) -> DataFrame:
-    """The month in one row per user. Every part is one row per user before it is joined."""
-    hours = top_hours(events, year, month, as_of).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "label", "count"))).alias("top_hours"))
-    apps = top_apps(usage, settings, year, month, as_of).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "app", "minutes"))).alias("top_apps"))
+    """The month in one row per user. Every part is one row per user before it is joined, and every input is read once."""
     tracking = settings.select("user_id", F.col("track_app_usage").alias("app_tracking_on"))
+    apps = _top_apps(usage, year, month, as_of).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "app", "minutes"))).alias("top_apps"))
     joined = users.select("user_id")
-    for part in (month_metrics(daily, year, month, as_of), month_events(events, year, month, as_of),
-                 calm_streak(daily, events, year, month, as_of),
-                 month_chat(chat, archived, year, month, as_of), hours, apps, tracking):
+    for part in (month_facts(daily, events, year, month, as_of), month_chat(chat, archived, year, month, as_of), apps, tracking):
         joined = joined.join(part, "user_id", "left")
     first, last = month_bounds(year, month, as_of)
     counts = ["days_tracked", "moments_count", "crisis_count", "calm_streak_days", "chat_message_count"]
-    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    filled = joined.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "top_apps": F.when(F.col("app_tracking_on"), F.col("top_apps"))})
     nothing = ((F.col("days_tracked") == 0) & (F.col("moments_count") == 0) & (F.col("chat_message_count") == 0)
                & F.col("top_apps").isNull())
     return filled.select(

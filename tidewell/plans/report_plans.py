@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidewell.operators import reports as ops
 from tidewell.plans.inputs import (
@@ -168,8 +168,7 @@ def calm_streak(spark, sf):
 def _archived(spark, sf):
     """Even threads stand for the archive; a thread is archived at its last turn."""
     turns = chat(spark, sf).where("thread_id % 2 = 0")
-    at = turns.groupBy("thread_id").agg(F.max("ts").alias("thread_ts"))
-    return turns.join(at, "thread_id").select("user_id", "role", "thread_ts")
+    return turns.select("user_id", "role", F.max("ts").over(Window.partitionBy("thread_id")).alias("thread_ts"))
 
 
 @query("month_chat", f"WITH {CHAT}, {_CHATS} SELECT user_id, chat_message_count FROM talk")

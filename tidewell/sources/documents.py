@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.functions.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes, lookup_anti
 from tidewell.operators.behavior import SIGNALS
 from tidewell.operators.history import TOGGLES
 
@@ -89,33 +90,98 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_user_docs(docs: DataFrame, path: str, buckets: int = 256) -> None:
+def write_user_docs(docs: DataFrame, path: str, buckets: int = 256, most_rows_per_file: int = 100_000) -> None:
     """Replace the documents of the given users.
 
     Documents live in hash buckets of users, so the number of folders does not grow with the users.
-    Only the touched buckets are rewritten, each with its other users' documents kept.
+    Only the touched buckets are rewritten, each with its other users' documents kept. The number of write tasks follows the size of the
+    data: adaptive execution cuts a large bucket into parts of the advised size and puts small ones together.
     """
     spark = docs.sparkSession
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
     if _exists(spark, path):
         touched = bucketed.select("bucket").distinct()
-        kept = (
-            spark.read.schema(bucketed.schema)
-            .json(path).join(F.broadcast(touched), "bucket", "left_semi")
-            .join(bucketed.select("user_id"), "user_id", "left_anti"))
+        kept = lookup_anti(
+            spark.read.schema(bucketed.schema).json(path).join(F.broadcast(touched), "bucket", "left_semi"), bucketed, ["user_id"])
         bucketed = cut_lineage(bucketed.unionByName(kept))
-    (bucketed.repartition("bucket", F.pmod(F.xxhash64("user_id", F.lit(1)), F.lit(4)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path))
+    (bucketed.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", most_rows_per_file).partitionBy("bucket").json(path))
+
+
+def erase_history(spark: SparkSession, path: str, erased: DataFrame, key: str = "user_id") -> list[str]:
+    """Rewrite the days of a day-partitioned history that hold an erased user, and no others. Returns those days.
+
+    The rows that stay are written to the shared folder first, so a lost executor or a second run finds them. A day left without rows is removed.
+    """
+    history = spark.read.parquet(path)
+    days = [str(r["day"]) for r in history.join(F.broadcast(erased.select(key).distinct()) if estimated_bytes(erased) <= BROADCAST_LIMIT_BYTES
+                                               else erased.select(key).distinct(), key, "left_semi").select("day").distinct().collect()]  # a row a day
+    if not days:
+        return []
+    left = cut_lineage(lookup_anti(history.where(F.col("day").cast("string").isin(days)), erased, [key]))
+    kept = {str(r["day"]) for r in left.select("day").distinct().collect()}
+    left.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in sorted(set(days) - kept):
+        _delete(spark, f"{path}/day={day}")
+    return sorted(days)
+
+
+def compact_history(spark: SparkSession, path: str, stream: str, until: int) -> None:
+    """Put the micro-batches up to `until` of one stream's history together, a few files a day in place of a few a micro-batch.
+
+    They become the one batch of the stream `<name>-compacted`, together with what that held. Whatever its newest batch already holds is deleted before
+    anything else, so a run that was cut off is finished by the next. Readers that run between the two steps see rows twice: compact while none does.
+    """
+    done = f"{path}/stream={stream}-compacted"
+    held = max(_batches(spark, done), default=-1)
+    for folder, least in ((f"{path}/stream={stream}", held + 1), (done, held)):
+        for batch in _batches(spark, folder):
+            if batch < least:
+                _delete(spark, f"{folder}/batch={batch}")
+    old = [b for b in _batches(spark, f"{path}/stream={stream}") if b <= until]
+    if not old:
+        return
+    earlier = [f"{done}/batch={b}" for b in _batches(spark, done)]
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/stream={stream}/batch={b}" for b in old], *earlier).drop("stream", "batch")
+    part = f"{path}/_compacting-{stream}-{until}"  # readers skip names that begin so
+    rows.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(part)
+    _rename(spark, part, f"{done}/batch={max(old)}")
+    for folder in [*earlier, *(f"{path}/stream={stream}/batch={b}" for b in old)]:
+        _delete(spark, folder)
 
 
 def read_written_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("user_id string, " + DOCUMENT_SCHEMA).json(path)
 
 
+def _at(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    files, at = _at(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(target.getParent())
+    if not files.rename(at, target):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a stream's micro-batch folders."""
+    files, at = _at(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
 
 def append_events(events: DataFrame, path: str) -> None:
