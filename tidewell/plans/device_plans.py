@@ -8,7 +8,7 @@ from tidewell.operators import devices as ops
 from tidewell.operators.scan import scan_messages
 from tidewell.plans.inputs import MESSAGES, messages, table
 from tidewell.plans.registry import query
-from tidewell.plans.text_plans import matchers
+from tidewell.plans.text_plans import SCANNED, matchers
 
 _US = "epoch_us(ts)"
 
@@ -233,7 +233,11 @@ def web_gate(spark, sf):
     return table(spark, sf, "events").select("event_id", ops.web_gate(key % 13 == 0, key % 3 == 0, risk, key % 8).alias("gate"))
 
 
-@query("monitor")
+# With no verdict at hand a user of the semantic layer is failed safe to high, unless it is a crisis; the others get what the keywords say.
+@query("monitor", f"""WITH {SCANNED}, e AS (SELECT *, user_id % 2 = 0 AS semantic FROM scanned)
+  SELECT user_id, msg_id AS seq, 1 AS layer, CASE WHEN level = 4 THEN 'crisis' WHEN semantic THEN 'high' ELSE (['none', 'low', 'moderate', 'high'])[level + 1] END AS level,
+  CASE WHEN len(list_filter(hits, lambda h: h[2] <> 'fuzzy')) > 0 THEN hits[1][2] WHEN semantic THEN 'distress' ELSE 'signal' END AS category, {_US} AS at
+  FROM e WHERE semantic OR level > 0""")
 def monitor(spark, sf):
     """Messages scanned, fused with no model verdict at hand, and reduced to history rows."""
     from tidewell.operators.fusion import attribute_event, fuse_verdicts

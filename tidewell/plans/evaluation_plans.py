@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import normalize_text
 from tidewell.operators import evaluation as ops
 from tidewell.operators.fusion import fail_safe, parse_verdicts
-from tidewell.operators.scan import scan_messages
+from tidewell.operators.scan import laugh_spans, scan_messages
 from tidewell.plans.fusion_plans import _PARSED, _SAFE, verdicts
 from tidewell.plans.inputs import SENTENCES, messages, table
 from tidewell.plans.registry import query
-from tidewell.plans.text_plans import matchers
+from tidewell.plans.text_plans import SAID, SCANNED, matchers
 
 _SUITE_LIST = "'" + "', '".join(ops.SUITES) + "'"
 _LEVELS = "'none', 'low', 'moderate', 'high', 'crisis'"
@@ -263,21 +264,29 @@ def overview_lists(spark, sf):
     return ops.overview_lists(scored(spark, sf)).drop("run_at")
 
 
-@query("evaluate_cases")
+RANGES = (0, 0, 0, 0, 4, 1, 2, 2, 3, 0, 1, 3, 0, 0, 0, 2, 4, 4, 4, 4, 0, 1, 3, 3, 0)
+_RANGES = ", ".join("('" + s.replace("'", "''") + f"', {r}, {str(SAID.get(s, ('',))[0] == 'fuzzy').lower()})" for s, r in zip(SENTENCES, RANGES))
+
+
+@query("evaluate_cases", f"""WITH {SCANNED}, ranges(sentence, lvl, bare) AS (VALUES {_RANGES})
+  SELECT msg_id AS case_id, CASE WHEN bare AND joking THEN 0 ELSE r.lvl END AS min_level, r.lvl AS max_level, level, true AS ok FROM scanned JOIN ranges r USING (sentence)""")
 def evaluate_cases(spark, sf):
-    """Every message against the range expected of the sentence it ends in."""
-    ranges = (0, 0, 0, 0, 4, 1, 2, 2, 3, 0, 1, 3, 0, 0, 0, 2, 4, 4, 4, 4, 0, 1, 3, 3, 0)
-    expected = F.create_map(*[x for s, r in zip(SENTENCES, ranges) for x in (F.lit(s), F.lit(r))])
+    """Every message against the range expected of the sentence it ends in; a bare word may be taken for a joke where the text laughs."""
+    expected = F.create_map(*[x for s, r in zip(SENTENCES, RANGES) for x in (F.lit(s), F.lit(r))])
     sent = messages(spark, sf).withColumnRenamed("msg_id", "case_id")
-    cases = sent.select("case_id", expected[F.col("sentence")].alias("min_level"), expected[F.col("sentence")].alias("max_level"))
+    bare = F.col("sentence").isin([s for s, said in SAID.items() if said[0] == "fuzzy"])
+    laughs = F.size(laugh_spans(normalize_text("text"))) > 0
+    cases = sent.select("case_id", F.when(bare & laughs, 0).otherwise(expected[F.col("sentence")]).alias("min_level"), expected[F.col("sentence")].alias("max_level"))
     return ops.evaluate_cases(cases, scan_messages(sent.drop("sentence"), matchers(spark)))
 
 
-@query("corpus_recall", """SELECT source AS pack, count(*) AS total, count_if(n_chars % 5 > 0) AS detected,
-  array_to_string((list_sort(list(CAST(doc_id AS VARCHAR)) FILTER (n_chars % 5 = 0)))[1:5], ',') AS misses FROM documents GROUP BY source""")
+@query("corpus_recall", f"""WITH {SCANNED} SELECT CAST(user_id % 7 AS VARCHAR) AS pack, count(*) AS total, count_if(level > 0) AS detected,
+  array_to_string((list_sort(list(CAST(msg_id AS VARCHAR)) FILTER (level = 0)))[1:5], ',') AS misses FROM scanned GROUP BY ALL""")
 def corpus_recall(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("source AS pack", "CAST(doc_id AS STRING) AS text", "n_chars % 5 AS level")
-    return ops.corpus_recall(docs).withColumn("misses", F.array_join("misses", ","))
+    """Packs of messages, scanned; a miss is named by its number."""
+    found = scan_messages(messages(spark, sf).drop("sentence"), matchers(spark))
+    packs = found.select((F.col("user_id") % 7).cast("string").alias("pack"), F.col("msg_id").cast("string").alias("text"), "level")
+    return ops.corpus_recall(packs).withColumn("misses", F.array_join("misses", ","))
 
 
 @query("underrating", f"""WITH {_PARSED}, {_SAFE}, e AS (SELECT s.*, CASE WHEN msg_id % 5 = 0 THEN 'crisis' WHEN msg_id % 5 < 3 THEN 'high' ELSE 'low' END AS expected FROM safe s),

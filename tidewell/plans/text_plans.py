@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import match_spans, normalize_text
+from tidewell.functions.text import match_spans, no_spans, normalize_text
 from tidewell.operators import fuzzy, guards, scan
 from tidewell.plans.inputs import MESSAGES, bounded_sql, messages, norm_sql, table
 from tidewell.plans.registry import query
@@ -23,6 +23,27 @@ def matchers(spark):
     return _matchers(spark.sparkContext.applicationId, spark)
 
 
+# What the scan says of each sentence, by hand: (kind, level, hits). A "sure" finding stands whatever the text says; a misspelling or bare word ("fuzzy") falls
+# where the text laughs, an "open" phrase where it laughs nearby or speaks of everyday things, a "threat" where it laughs nearby.
+SAID = {
+    "screw this test": ("sure", 1, [("screw this test", "everyday_stress")]),
+    "i am really worn out because of school today": ("sure", 1, [("i am really worn out because of school today", "everyday_stress"), ("worn out", "everyday_stress")]),
+    "im having a meltdown": ("sure", 2, [("having a meltdown", "major_stress"), ("im having a meltdown", "major_stress")]),
+    "everything is falling apart": ("sure", 2, [("everything is falling apart", "major_stress"), ("falling apart", "major_stress")]),
+    "i give up": ("open", 2, [("i give up", "major_stress")]),
+    "lol i want to kill myself": ("sure", 4, [("i want to kill myself", "crisis"), ("kill myself", "crisis")]),
+    "thinking of hurting myself": ("sure", 4, [("hurting myself", "crisis")]),
+    "i want to kill that guy tonight": ("sure", 4, [("i want to kill that guy tonight", "crisis"), ("kill that guy", "crisis")]),
+    "no reason to live": ("sure", 4, [("no reason to live", "crisis")]),
+    "he said he will hurt me": ("sure", 4, [("he said he will hurt me", "crisis")]),
+    "i want to kill you": ("threat", 3, [("i want to kill you", "received_threat")]),
+    "you're worthless": ("threat", 3, [("you're worthless", "received_threat")]),
+    "i feel so depresssed": ("fuzzy", 3, [("depressed", "fuzzy")]),
+    "i am tierd": ("fuzzy", 1, [("tired", "fuzzy")]),
+    "i am alone and empty": ("fuzzy", 3, [("alone", "fuzzy"), ("empty", "fuzzy")]),
+}
+
+
 def _q(items):
     return ", ".join("'" + i.replace("'", "''") + "'" for i in items)
 
@@ -38,6 +59,41 @@ def normed(spark, sf):
     return messages(spark, sf).select("msg_id", "sentence", normalize_text("text").alias("norm"))
 
 
+_LAUGH = (r"lo+l|lmf?a+o+|lma+o+|ro+fl|ha(?:ha)+h?|hehe+|ja(?:ja)+|so+\s+funny|hilarious|funniest|comedy|meme|jk|"
+          r"jus+t?\s+kidding|joking|im\s+jokin[\p{L}\p{N}_]*|crying\s+laughing")
+_SERIOUS = (r"suicid|kill\s+myself|killing\s+myself|unalive\s+myself|end\s+my\s+life|take\s+my\s+(?:own\s+)?life|self[\s-]?harm|"
+            r"hurt\s+myself|cut\s+myself|don'?t\s+want\s+to\s+(?:be\s+alive|live|wake\s+up)|better\s+off\s+without\s+me|"
+            r"no\s+reason\s+to\s+live")
+_MUNDANE = guards.MUNDANE[len(r"(?U)\b(?:"):-len(r")\b")]
+
+
+def laughs_sql(text: str) -> str:
+    return f"(regexp_matches({text}, {_pattern(bounded_sql(_LAUGH))}) OR regexp_matches({text}, '😂|🤣|😹|💀'))"
+
+
+def serious_sql(text: str) -> str:
+    return f"(regexp_matches({text}, {_pattern(_SERIOUS)}) OR regexp_matches({text}, {_pattern(bounded_sql('kms'))}))"
+
+
+def _said_rows() -> str:
+    return ", ".join(f"({_pattern(t)}, '{kind}', {level}, [{', '.join(f'[{_pattern(p)}, {_pattern(c)}]' for p, c in hits)}])" for t, (kind, level, hits) in SAID.items())
+
+
+# scanned: msg_id, user_id, ts, level, tier3, hits ([phrase, category] each), joking, threat
+SCANNED = f"""{MESSAGES}, said(sentence, kind, lvl, found) AS (VALUES {_said_rows()}),
+  heard AS (SELECT m.*, {norm_sql('text')} AS norm FROM messages m),
+  flagged AS (SELECT h.*, kind, lvl, found, {laughs_sql('norm')} AS laughs, {serious_sql('norm')} AS serious,
+    {laughs_sql(f'right(norm, length(sentence) + {guards.JOKE_RADIUS})')} AS close, regexp_matches(norm, {_pattern(bounded_sql(_MUNDANE))}) AS mundane
+    FROM heard h LEFT JOIN said USING (sentence)),
+  judged AS (SELECT *, kind IS NOT NULL AND NOT coalesce((kind = 'fuzzy' AND laughs AND NOT serious) OR (kind = 'open' AND (close OR mundane) AND NOT serious)
+    OR (kind = 'threat' AND close), false) AS stays FROM flagged),
+  scanned AS (SELECT msg_id, user_id, ts, sentence, CASE WHEN stays THEN lvl ELSE 0 END AS level, stays AND lvl = 4 AS tier3, CASE WHEN stays THEN found ELSE [] END AS hits,
+    laughs AND NOT serious AS joking, stays AND kind = 'threat' AS threat FROM judged)"""
+_LEVEL_NAME = "(['none', 'low', 'moderate', 'high', 'crisis'])[level + 1]"
+# Categories of phrases and threats; a misspelling names none.
+_CATEGORIES = "list_distinct(list_filter(list_transform(hits, lambda h: h[2]), lambda c: c <> 'fuzzy'))"
+
+
 @query("normalize_text", f"SELECT doc_id, md5({norm_sql('text')}) AS digest, length({norm_sql('text')}) AS chars FROM documents")
 def normalize(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("norm"))
@@ -69,47 +125,41 @@ def tokens(spark, sf):
     return fuzzy.tokens(normed(spark, sf), "msg_id", F.col("norm"))
 
 
-_LAUGH = (r"lo+l|lmf?a+o+|lma+o+|ro+fl|ha(?:ha)+h?|hehe+|ja(?:ja)+|so+\s+funny|hilarious|funniest|comedy|meme|jk|"
-          r"jus+t?\s+kidding|joking|im\s+jokin[\p{L}\p{N}_]*|crying\s+laughing")
-
-
 @query("laugh_spans", f"""WITH {_NORMED} SELECT msg_id, regexp_matches(norm, {_pattern(bounded_sql(_LAUGH))})
   OR regexp_matches(norm, '😂|🤣|😹|💀') AS joking FROM normed""")
 def laugh_spans(spark, sf):
     return normed(spark, sf).select("msg_id", (F.size(scan.laugh_spans(F.col("norm"))) > 0).alias("joking"))
 
 
-_SERIOUS = (r"suicid|kill\s+myself|killing\s+myself|unalive\s+myself|end\s+my\s+life|take\s+my\s+(?:own\s+)?life|self[\s-]?harm|"
-            r"hurt\s+myself|cut\s+myself|don'?t\s+want\s+to\s+(?:be\s+alive|live|wake\s+up)|better\s+off\s+without\s+me|"
-            r"no\s+reason\s+to\s+live")
-
-
 @query("always_serious", f"""WITH {_NORMED} SELECT msg_id, regexp_matches(norm, {_pattern(_SERIOUS)})
   OR regexp_matches(norm, {_pattern(bounded_sql('kms'))}) AS serious FROM normed""")
 def always_serious(spark, sf):
     return normed(spark, sf).select("msg_id", scan.always_serious(F.col("norm")).alias("serious"))
 
 
-_MUNDANE = guards.MUNDANE[len(r"(?U)\b(?:"):-len(r")\b")]
-
-
 @query("mundane", f"""WITH {_NORMED} SELECT msg_id, regexp_matches(norm, {_pattern(bounded_sql(_MUNDANE))}) AS mundane FROM normed""")
 def mundane(spark, sf):
     return normed(spark, sf).select("msg_id", scan.mundane(F.col("norm")).alias("mundane"))
 
 
-_NEGATIVE = r"\b(?:suicide\s+prevention|suicide\s+squad|crisis\s+hotline)\b"
+def _discarding(spark):
+    """The patterns by which the crisis level discards a text."""
+    return [p for m in matchers(spark) if m.bypass for p in m.negative]
+
+
+_NEGATIVE = r"(?:suicide\s+prevention|suicide\s+squad|crisis\s+hotline)|(?:kill|end)\s+(?:the\s+)?(?:process|task|app|meeting)"
 
 
-@query("level_guard", f"""WITH {_NORMED} SELECT msg_id, regexp_matches(norm, {_pattern(_NEGATIVE)}) AND NOT
-  (regexp_matches(norm, {_pattern(_SERIOUS)}) OR regexp_matches(norm, {_pattern(bounded_sql('kms'))})) AS discarded FROM normed""")
+@query("level_guard", f"""WITH {_NORMED} SELECT msg_id, regexp_matches(norm, {_pattern(bounded_sql(_NEGATIVE))}) AND NOT {serious_sql('norm')} AS discarded FROM normed""")
 def level_guard(spark, sf):
     norm = F.col("norm")
-    return normed(spark, sf).select(
-        "msg_id", (norm.rlike("(?iU)" + _NEGATIVE) & ~scan.always_serious(norm)).alias("discarded"))
+    found = F.lit(False)
+    for pattern in _discarding(spark):
+        found = found | norm.rlike(pattern)
+    return normed(spark, sf).select("msg_id", (found & ~scan.always_serious(norm)).alias("discarded"))
 
 
-@query("received_threat")
+@query("received_threat", f"""WITH {SCANNED} SELECT msg_id, CASE WHEN kind = 'threat' THEN sentence END AS phrase, coalesce(kind = 'threat' AND stays, false) AS threat FROM judged""")
 def received_threat(spark, sf):
     norm = F.col("norm")
     found = normed(spark, sf).select("msg_id", scan.first_threat(norm).alias("t"), scan.laugh_spans(norm).alias("laugh"))
@@ -132,7 +182,12 @@ def near_marker(spark, sf):
     return normed(spark, sf).select("msg_id", near(start, F.length(norm), match_spans(norm, "er"), 60).alias("near"))
 
 
-@query("drop_benign")
+_VERB = r"^(kill[\p{L}\p{N}_]*|die|dying|dead|cut|cutting|hopeless|empty|suicide)$"
+_IDIOMS = ("my phone is dead", "i cut myself a slice of pizza", "bro im dying laughing lmao", "suicide squad was mid")
+
+
+@query("drop_benign", f"""WITH {_NORMED}, n AS (SELECT msg_id, len(list_filter(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, {_pattern(_VERB)}))) AS verbs,
+  CASE WHEN sentence IN ({_q(_IDIOMS)}) THEN 1 ELSE 0 END AS dropped FROM normed) SELECT msg_id, verbs - dropped AS kept, dropped FROM n""")
 def drop_benign(spark, sf):
     """Verb hits kept after the idiom test: (message, kept, dropped)."""
     from tidewell.functions.text import inside_any
@@ -148,13 +203,12 @@ def drop_benign(spark, sf):
   regexp_matches(norm, {_pattern(_SERIOUS)}) AS dropped FROM hit""")
 def drop_hyperbole(spark, sf):
     """Exaggerations next to a laugh: the sentence `i want to die lol` holds one of each."""
-    from tidewell.functions.text import near
     norm = F.col("norm")
     staged = normed(spark, sf).select(
-        "msg_id", match_spans(norm, r"(?U)\bi want to die\b").alias("h"), scan.laugh_spans(norm).alias("l"),
+        "msg_id", "norm", match_spans(norm, r"(?U)\bi want to die\b").alias("h"), scan.laugh_spans(norm).alias("l"),
         scan.always_serious(norm).alias("serious"))
-    dropped = F.exists("h", lambda h: h["t"].isin(list(guards.HYPERBOLE)) & near(h["s"], h["e"], F.col("l"), guards.JOKE_RADIUS))
-    return staged.select("msg_id", (dropped & ~F.col("serious")).alias("dropped"))
+    dropped = F.exists("h", lambda h: ~scan.keep_hit(h, norm, no_spans(), F.col("l"), F.col("serious"), F.lit(False)))
+    return staged.select("msg_id", dropped.alias("dropped"))
 
 
 @query("drop_ambiguous", f"""WITH {_NORMED}, roots AS (SELECT unnest([{_q(guards.AMBIGUOUS_ROOTS)}]) AS r),
@@ -162,8 +216,10 @@ def drop_hyperbole(spark, sf):
   SELECT msg_id, sentence IN (SELECT sentence FROM a) AND regexp_matches(norm, {_pattern(bounded_sql(_MUNDANE))}) AS dropped FROM normed""")
 def drop_ambiguous(spark, sf):
     norm = F.col("norm")
+    end = F.length(norm)
+    hit = F.struct((end - F.length("sentence")).alias("s"), end.alias("e"), F.col("sentence").alias("t"))
     return normed(spark, sf).select(
-        "msg_id", (scan.is_ambiguous(F.col("sentence")) & scan.mundane(norm)).alias("dropped"))
+        "msg_id", (~scan.keep_hit(hit, norm, no_spans(), no_spans(), F.lit(False), scan.mundane(norm))).alias("dropped"))
 
 
 _COMPLETION = guards.INNOCENT_COMPLETION[len("(?U)"):]
@@ -241,17 +297,32 @@ def pair_hits(spark, sf):
     return _hits(spark, sf, "pairs")
 
 
-@query("rule_hits")
+# Sentences for the rules, with what they match.
+RULED = {
+    "i'm so fried for the finals already": ("i'm so fried for the finals", "everyday_stress"), "im swamped with homework": ("im swamped with homework", "everyday_stress"),
+    "i cannot take this anymore": ("i cannot take this anymore", "major_stress"), "we can't handle it anymore": None,
+    "honestly i can't do it anymore, bye": ("i can't do it anymore", "major_stress"), "i am not fried": None,
+}
+
+
+@query("rule_hits", f"""WITH {MESSAGES}, rules(i, phrase, category) AS (VALUES {', '.join(f"({i}, {_pattern(m[0])}, '{m[1]}')" for i, m in enumerate(RULED.values()) if m)})
+  SELECT msg_id, phrase, category FROM messages JOIN rules ON msg_id % {len(RULED)} = i""")
 def rule_hits(spark, sf):
-    return _pattern_hits(spark, sf, "rules")
+    ruled = F.element_at(F.array(*[F.lit(t) for t in RULED]), (F.col("msg_id") % len(RULED) + 1).cast("int"))
+    texts = messages(spark, sf).select("msg_id", normalize_text(F.concat("text", F.lit(". "), ruled)).alias("norm"))
+    return _pattern_hits(spark, texts, "rules")
+
+
+_TEMPLATED = ("i am really worn out because of school today", "im having a meltdown", "lol i want to kill myself", "i want to kill that guy tonight", "he said he will hurt me")
 
 
-@query("template_hits")
+@query("template_hits", f"""WITH {SCANNED} SELECT msg_id, found[1][1] AS phrase, found[1][2] AS category FROM judged
+  WHERE sentence IN ({_q(t for t in _TEMPLATED if t != 'im having a meltdown')}) UNION ALL SELECT msg_id, sentence, 'major_stress' FROM judged WHERE sentence = 'im having a meltdown'""")
 def template_hits(spark, sf):
-    return _pattern_hits(spark, sf, "templates")
+    return _pattern_hits(spark, normed(spark, sf), "templates")
 
 
-def _pattern_hits(spark, sf, kind):
+def _pattern_hits(spark, texts, kind):
     norm = F.col("norm")
 
     def hits(pattern, category):
@@ -259,7 +330,7 @@ def _pattern_hits(spark, sf, kind):
             h["t"].alias("phrase"), F.lit(category).alias("category")))
 
     found = F.flatten(F.array(*[hits(p, m.category) for m in matchers(spark) for p in getattr(m, kind)]))
-    return normed(spark, sf).select("msg_id", F.explode(F.array_distinct(found)).alias("h")).select("msg_id", "h.*")
+    return texts.select("msg_id", F.explode(F.array_distinct(found)).alias("h")).select("msg_id", "h.*")
 
 
 _DISTINCT_TOKENS = f"toks AS (SELECT DISTINCT unnest(regexp_extract_all(norm, '[a-z'']+')) AS token FROM normed)"
@@ -315,7 +386,11 @@ def attributed(spark, sf):
     return staged.select("msg_id", F.explode(judged).alias("j")).select("msg_id", "j.*")
 
 
-@query("fuzzy_hits")
+_FUZZY_LEVELS = ", ".join(f"('{w}', {n})" for w, n in guards.FUZZY_WORDS.items())
+
+
+@query("fuzzy_hits", f"""WITH {SCANNED}, core(word, level) AS (VALUES {_FUZZY_LEVELS}), h AS (SELECT msg_id, unnest(found) AS hit FROM judged WHERE kind = 'fuzzy')
+  SELECT msg_id, word, level FROM h JOIN core ON hit[1] = word""")
 def fuzzy_hits(spark, sf):
     norm = F.col("norm")
     found = normed(spark, sf).where(fuzzy.may_misspell(norm)).select(
@@ -331,7 +406,8 @@ def roll_up_level(spark, sf):
         key % 7 == 0, key % 3, key % 4, F.col("event_type") == "error").alias("level"))
 
 
-@query("assemble_hits")
+@query("assemble_hits", f"""WITH {SCANNED}, h AS (SELECT msg_id, tier3, unnest(hits) AS hit FROM scanned)
+  SELECT msg_id, hit[1] AS phrase, hit[2] AS category, CASE WHEN tier3 OR hit[2] = 'received_threat' THEN '3' ELSE '1' END AS tier FROM h""")
 def assemble_hits(spark, sf):
     return scan.hit_rows(scan.scan_messages(messages(spark, sf), matchers(spark)), "msg_id")
 
@@ -341,11 +417,14 @@ def _scanned(df, *keys):
                      F.size("hits").alias("hits"), "joking_context", "received_threat")
 
 
-@query("scan_messages")
+@query("scan_messages", f"""WITH {SCANNED} SELECT msg_id, user_id, level, {_LEVEL_NAME} AS level_name, tier3, len(hits) > 0 AS matched, array_to_string({_CATEGORIES}, ',') AS categories,
+  len(hits) AS hits, joking AS joking_context, threat AS received_threat FROM scanned""")
 def scan_messages(spark, sf):
     return _scanned(scan.scan_messages(messages(spark, sf), matchers(spark)), "msg_id", "user_id")
 
 
-@query("scan_documents")
+# The invented prose says nothing; only its syllables may laugh.
+@query("scan_documents", f"""WITH d AS (SELECT doc_id, {norm_sql('text')} AS norm FROM documents) SELECT doc_id, 0 AS level, 'none' AS level_name, false AS tier3, false AS matched,
+  '' AS categories, 0 AS hits, {laughs_sql('norm')} AND NOT {serious_sql('norm')} AS joking_context, false AS received_threat FROM d""")
 def scan_documents(spark, sf):
     return _scanned(scan.scan_messages(table(spark, sf, "documents"), matchers(spark)), "doc_id")
