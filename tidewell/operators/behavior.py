@@ -146,9 +146,10 @@ def strain_events(reports: DataFrame, baseline: Mapping[str, float] = BASELINE)
 
 
 def merge_app_usage(usage: DataFrame, settings: DataFrame) -> DataFrame:
-    """Seconds per opted-in user, day and app. Sums first, so the opt-in join sees few rows."""
+    """Seconds per opted-in user, day and app, and when in the day (`seq`, if given) the app came first. Sums first, so the opt-in join sees few rows."""
     app = F.substring(F.trim("app"), 1, 80)
+    first = [F.min("seq").alias("first_seq")] if "seq" in usage.columns else []
     summed = usage.where(F.col("seconds") > 0).withColumn("app", app).where(F.col("app") != "").groupBy(
-        "user_id", "day", "app").agg(F.sum("seconds").alias("seconds"))
+        "user_id", "day", "app").agg(F.sum("seconds").alias("seconds"), *first)
     opted_in = settings.where("track_app_usage").select("user_id").distinct()
     return summed.join(opted_in, "user_id", "left_semi")

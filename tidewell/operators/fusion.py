@@ -265,12 +265,16 @@ def escalation_candidates(events: DataFrame, settings: DataFrame, sends: DataFra
 
 
 def escalation_events(outcomes: DataFrame) -> DataFrame:
-    """History rows of attempted notes: sent counts as a crisis, prepared as moderate."""
+    """History rows of attempted notes: sent counts as a crisis, prepared as moderate.
+
+    Where a column `automatic` says that nobody asked for the note, one that was sent is an event of the keyword layer, and one that was not leaves none.
+    """
     sent = F.col("sent")
-    return outcomes.select(
-        "user_id", "ts", F.when(sent, 4).otherwise(2).alias("layer"),
+    automatic = F.coalesce("automatic", F.lit(False)) if "automatic" in outcomes.columns else F.lit(False)
+    return outcomes.where(~automatic | sent).select(
+        "user_id", "ts", F.when(automatic, 1).when(sent, 4).otherwise(2).alias("layer"),
         F.when(sent, "crisis").otherwise("moderate").alias("level"),
-        F.when(sent, "escalation_sent").otherwise("escalation_prepared").alias("category"))
+        F.when(automatic, "auto_escalation").when(sent, "escalation_sent").otherwise("escalation_prepared").alias("category"))
 
 
 def label_transcript(turns: DataFrame, conversation: str = "conv_id", order: str = "turn",

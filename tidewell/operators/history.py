@@ -134,8 +134,10 @@ def merge_settings(patches: DataFrame, toggles: Sequence[str] = TOGGLES,
 
 
 def user_state(settings: DataFrame, dashboard: DataFrame, gate: DataFrame, chat_turns: DataFrame) -> DataFrame:
-    """Everything an app needs to open, one row per user; chat enters as its retained turn count."""
-    turns = chat_turns.groupBy("user_id").agg(
-        F.least(F.count("*"), F.lit(KEPT["chat"])).alias("chat_turns"), F.max("ts").alias("last_chat"))
+    """Everything an app needs to open, one row per user; `chat` holds the retained turns (at most 200) in order."""
+    newest = top_per_key(chat_turns, ["user_id"], [F.col("seq").desc()], KEPT["chat"], spread=["seq"])
+    turn = F.struct("seq", "ts", "role", "content")
+    turns = newest.groupBy("user_id").agg(
+        F.count("*").alias("chat_turns"), F.max("ts").alias("last_chat"), F.array_sort(F.collect_list(turn)).alias("chat"))
     return (settings.join(dashboard, "user_id", "left").join(gate, "user_id", "left").join(turns, "user_id", "left")
             .withColumn("chat_turns", F.coalesce("chat_turns", F.lit(0))))

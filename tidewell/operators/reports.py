@@ -90,20 +90,24 @@ def weekly_trend(daily: DataFrame, users: DataFrame, as_of: Column) -> DataFrame
 
 
 def weekly_arrays(trend: DataFrame) -> DataFrame:
-    """The seven days of each user side by side."""
+    """The seven days of each user side by side; no days at all, and `empty`, where none was tracked."""
     ordered = F.array_sort(F.collect_list(F.struct("day", "focus", "tabs")))
-    return trend.groupBy("user_id").agg(ordered.alias("_days")).select(
-        "user_id", F.col("_days.focus").alias("trend"), F.col("_days.tabs").alias("bars"))
+    days = trend.groupBy("user_id").agg(ordered.alias("_days"), (F.count("focus") == 0).alias("empty"))
+
+    def shown(name: str) -> Column:
+        return F.when(F.col("empty"), F.array().cast("array<bigint>")).otherwise(F.col(f"_days.{name}"))
+    return days.select("user_id", shown("focus").alias("trend"), shown("tabs").alias("bars"), "empty")
 
 
 def _change(first: Column, last: Column, present: Column) -> Column:
     return F.when(present >= 2, round_half_even((last - first) / F.greatest(first, F.lit(1)) * 100)).otherwise(0)
 
 
-def week_change(daily: DataFrame, as_of: Column) -> DataFrame:
-    """Percent change of focus between the first and last tracked day of the week."""
-    return _last_week(daily, as_of).groupBy("user_id").agg(
+def week_change(daily: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+    """Percent change of focus between the first and last tracked day of the week; 0 with fewer than two."""
+    known = _last_week(daily, as_of).groupBy("user_id").agg(
         _change(F.min_by("focus_score", "day"), F.max_by("focus_score", "day"), F.count("*")).alias("week_change"))
+    return users.select("user_id").join(known, "user_id", "left").withColumn("week_change", F.coalesce("week_change", F.lit(0)))
 
 
 def tip_titles(suggestions: Column) -> Column:
@@ -212,8 +216,9 @@ def top_hours(events: DataFrame, year: int, month: int, as_of: Column, n: int =
 
 
 def _top_apps(usage: DataFrame, year: int, month: int, as_of: Column, n: int = 3) -> DataFrame:
+    seen = F.struct("day", "first_seq") if "first_seq" in usage.columns else F.struct("day")
     totals = _in_month(usage, F.col("day"), year, month, as_of).groupBy("user_id", "app").agg(
-        F.sum("seconds").alias("seconds"), F.min("day").alias("_first"))
+        F.sum("seconds").alias("seconds"), F.min(seen).alias("_first"))
     top = top_per_key(totals, ["user_id"], [F.desc("seconds"), F.col("_first"), F.col("app")], n, spread=["app"], rank="pos")
     return top.select("user_id", "pos", "app", round_half_even(F.col("seconds") / 60).alias("minutes"))
 

@@ -218,14 +218,16 @@ _SENDS = "sends AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'
 _EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 
 
-@query("escalation_candidates", f"""WITH {HISTORY}, {SETTINGS}, {_SENDS} SELECT h.user_id, count(*) AS crises,
-  any_value(regexp_extract(s.contact, '{_EMAIL}')) AS address FROM history h JOIN settings s USING (user_id)
-  WHERE h.level = 'crisis' AND h.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 96 HOUR AND h.ts <= TIMESTAMP '{AS_OF}'
-  AND regexp_extract(s.contact, '{_EMAIL}') != '' AND h.user_id NOT IN (SELECT user_id FROM sends WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 96 HOUR)
-  GROUP BY h.user_id HAVING count(*) >= 3""")
+# Ten users share all events, so that a day holds crises enough; the last note of some lies within the day.
+@query("escalation_candidates", f"""WITH {HISTORY}, {SETTINGS}, {_SENDS}, dense AS (SELECT * REPLACE (user_id % 10 + 1 AS user_id) FROM history),
+  sent AS (SELECT user_id % 10 + 1 AS user_id FROM sends WHERE user_id % 10 < 3 AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR)
+  SELECT h.user_id, count(*) AS crises, any_value(regexp_extract(s.contact, '{_EMAIL}')) AS address FROM dense h JOIN settings s USING (user_id)
+  WHERE h.level = 'crisis' AND h.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND h.ts <= TIMESTAMP '{AS_OF}'
+  AND regexp_extract(s.contact, '{_EMAIL}') != '' AND h.user_id NOT IN (SELECT user_id FROM sent) GROUP BY h.user_id HAVING count(*) >= 3""")
 def escalation_candidates(spark, sf):
-    sends = table(spark, sf, "events").where("event_type = 'purchase' AND event_id % 2 = 0").select("user_id", "ts")
-    return ops.escalation_candidates(history(spark, sf), settings(spark, sf), sends, as_of(), hours=96)
+    dense = F.col("user_id") % 10 + 1
+    sends = table(spark, sf, "events").where("event_type = 'purchase' AND event_id % 2 = 0 AND user_id % 10 < 3").select(dense.alias("user_id"), "ts")
+    return ops.escalation_candidates(history(spark, sf).withColumn("user_id", dense), settings(spark, sf), sends, as_of())
 
 
 _CONTACT = "CASE WHEN c_custkey % 5 = 0 THEN c_name WHEN c_custkey % 5 = 1 THEN NULL ELSE c_name || ' <a.b+' || c_custkey || '@x-' || c_nationkey || '.school.edu> or z@y.org' END"
@@ -237,9 +239,10 @@ def extract_email(spark, sf):
         "c_custkey", ops.extract_email(F.col("contact")).alias("address"))
 
 
-@query("escalation_events", """SELECT user_id, epoch_us(ts) AS at, CASE WHEN value > 50 THEN 4 ELSE 2 END AS layer,
+@query("escalation_events", """SELECT user_id, epoch_us(ts) AS at, CASE WHEN event_id % 7 = 0 THEN 1 WHEN value > 50 THEN 4 ELSE 2 END AS layer,
   CASE WHEN value > 50 THEN 'crisis' ELSE 'moderate' END AS level,
-  CASE WHEN value > 50 THEN 'escalation_sent' ELSE 'escalation_prepared' END AS category FROM events""")
+  CASE WHEN event_id % 7 = 0 THEN 'auto_escalation' WHEN value > 50 THEN 'escalation_sent' ELSE 'escalation_prepared' END AS category FROM events
+  WHERE event_id % 7 <> 0 OR value > 50""")
 def escalation_events(spark, sf):
-    outcomes = table(spark, sf, "events").selectExpr("user_id", "ts", "value > 50 AS sent")
+    outcomes = table(spark, sf, "events").selectExpr("user_id", "ts", "value > 50 AS sent", "event_id % 7 = 0 AS automatic")
     return ops.escalation_events(outcomes).withColumn("at", F.unix_micros("ts")).drop("ts")

@@ -138,15 +138,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 def app_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Foreground seconds; a few rows carry no name or no time and are to be refused."""
     return table(spark, sf, "events").selectExpr(
-        "user_id", "to_date(ts) AS day",
+        "user_id", "event_id AS seq", "to_date(ts) AS day",
         "CASE WHEN event_id % 29 = 0 THEN '  ' ELSE concat(' ', event_type, ' ') END AS app",
         "CAST(CASE WHEN event_id % 31 = 0 THEN -1 ELSE value END AS DECIMAL(18,2)) AS seconds")
 
 
-APP_ROWS = """app_rows AS (SELECT user_id, CAST(ts AS DATE) AS day,
+APP_ROWS = """app_rows AS (SELECT user_id, event_id AS seq, CAST(ts AS DATE) AS day,
   CASE WHEN event_id % 29 = 0 THEN '  ' ELSE ' ' || event_type || ' ' END AS app,
   CAST(CASE WHEN event_id % 31 = 0 THEN -1 ELSE value END AS DECIMAL(18,2)) AS seconds FROM events)"""
-APP_USAGE = APP_ROWS + """, app_usage AS (SELECT user_id, day, substr(trim(app), 1, 80) AS app, sum(seconds) AS seconds
+APP_USAGE = APP_ROWS + """, app_usage AS (SELECT user_id, day, substr(trim(app), 1, 80) AS app, sum(seconds) AS seconds, min(seq) AS first_seq
   FROM app_rows WHERE seconds > 0 AND trim(app) != '' AND user_id % 2 = 0 GROUP BY ALL)"""
 
 

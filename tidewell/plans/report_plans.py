@@ -76,7 +76,8 @@ def weekly_trend(spark, sf):
   SELECT s.user_id, string_agg(coalesce(CAST(w.focus_score AS VARCHAR), '-'), ',' ORDER BY s.day) AS trend,
   string_agg(coalesce(CAST(CAST(round_even(CASE WHEN w.user_id IS NOT NULL THEN coalesce(w.tab_switches, 0e0) END, 0) AS BIGINT)
   AS VARCHAR), '-'), ',' ORDER BY s.day) AS bars
-  FROM spine s LEFT JOIN week w ON s.user_id = w.user_id AND s.day = w.day GROUP BY s.user_id""")
+  FROM spine s LEFT JOIN week w ON s.user_id = w.user_id AND s.day = w.day GROUP BY s.user_id HAVING count(w.user_id) > 0
+  UNION ALL SELECT user_id, '', '' FROM users WHERE user_id NOT IN (SELECT user_id FROM week)""")
 def weekly_arrays(spark, sf):
     side = ops.weekly_arrays(ops.weekly_trend(daily(spark, sf), users(spark, sf), _now()))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",", "-").alias(c)
@@ -87,9 +88,10 @@ _CHANGE = """CASE WHEN count(*) >= 2 THEN CAST(round_even(CAST(arg_max(focus_sco
   / greatest(arg_min(focus_score, day), 1) * 100e0, 0) AS BIGINT) ELSE 0 END"""
 
 
-@query("week_change", f"WITH {DAILY}, {_WEEK} SELECT user_id, {_CHANGE} AS week_change FROM week GROUP BY user_id")
+@query("week_change", f"""WITH {DAILY}, {USERS}, {_WEEK}, c AS (SELECT user_id, {_CHANGE} AS change FROM week GROUP BY user_id)
+  SELECT user_id, coalesce(change, 0) AS week_change FROM users LEFT JOIN c USING (user_id)""")
 def week_change(spark, sf):
-    return ops.week_change(daily(spark, sf), _now())
+    return ops.week_change(daily(spark, sf), users(spark, sf), _now())
 
 
 _WORST = "worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mental_battery, day) AS rk FROM week) WHERE rk = 1)"
@@ -146,7 +148,7 @@ _HOURS = f"""hours AS (SELECT user_id, h, count, row_number() OVER (PARTITION BY
   SELECT user_id, hour(ts) AS h, count(*) AS count, min(seq) AS first FROM history WHERE CAST(ts AS DATE) {_IN} GROUP BY ALL)),
   top_hours AS (SELECT user_id, pos, {_LABEL.format(h='h')} || ' – ' || {_LABEL.format(h='(h + 1)')} AS label, count FROM hours WHERE pos <= 3)"""
 _APPS = f"""apps AS (SELECT user_id, app, seconds, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, first, app) AS pos FROM (
-  SELECT user_id, app, sum(seconds) AS seconds, min(day) AS first FROM app_usage WHERE day {_IN} GROUP BY ALL)),
+  SELECT user_id, app, sum(seconds) AS seconds, min(row(day, first_seq)) AS first FROM app_usage WHERE day {_IN} GROUP BY ALL)),
   top_apps AS (SELECT user_id, pos, app, CAST(round_even(CAST(seconds AS DOUBLE) / 60e0, 0) AS BIGINT) AS minutes FROM apps WHERE pos <= 3)"""
 
 

@@ -26,11 +26,12 @@ def list_threads(spark, sf):
     return ops.list_threads(chat(spark, sf)).withColumn("at", F.unix_micros("ts")).drop("ts")
 
 
-@query("archivable_threads", f"""WITH {CHAT}, t AS (SELECT user_id, thread_id, max(ts) AS ts, count(*) AS count FROM chat
+# One user holds all threads, so that the limit of 50 cuts.
+@query("archivable_threads", f"""WITH {CHAT}, t AS (SELECT 7 AS user_id, thread_id, max(ts) AS ts, count(*) AS count FROM chat
   GROUP BY ALL HAVING bool_or(role = 'user')) SELECT user_id, thread_id, epoch_us(ts) AS at, count FROM (SELECT *,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, thread_id DESC) AS rn FROM t) WHERE rn <= 50""")
 def archivable_threads(spark, sf):
-    return ops.archivable_threads(chat(spark, sf), keep=50).withColumn("at", F.unix_micros("ts")).drop("ts")
+    return ops.archivable_threads(chat(spark, sf).withColumn("user_id", F.lit(7).cast("long")), keep=50).withColumn("at", F.unix_micros("ts")).drop("ts")
 
 
 def _threads(spark, sf):
@@ -56,11 +57,12 @@ def missing_threads(spark, sf):
 
 
 def _friend_turns(spark, sf):
+    """Of every twelve conversations the last eight are one, long enough for the limit of 60 turns to refuse some."""
     return table(spark, sf, "conversations").selectExpr(
-        "conv_id", "turn", "CASE role WHEN 'user' THEN 'friend' WHEN 'assistant' THEN 'user' END AS role", "text AS content")
+        "CASE WHEN conv_id % 12 < 4 THEN conv_id ELSE -(conv_id div 24) - 1 END AS conv_id", "conv_id * 1000 + turn AS turn", "CASE role WHEN 'user' THEN 'friend' WHEN 'assistant' THEN 'user' END AS role", "text AS content")
 
 
-_FRIEND = """turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'friend' WHEN 'assistant' THEN 'user' END AS role,
+_FRIEND = """turns AS (SELECT CASE WHEN conv_id % 12 < 4 THEN conv_id ELSE -(conv_id // 24) - 1 END AS conv_id, conv_id * 1000 + turn AS turn, CASE role WHEN 'user' THEN 'friend' WHEN 'assistant' THEN 'user' END AS role,
   text AS content FROM conversations), caps AS (SELECT conv_id, count(*) AS turns, max(length(content)) AS longest,
   count(*) <= 60 AND coalesce(max(length(content)), 0) <= 4000 AS accepted FROM turns GROUP BY conv_id)"""
 
