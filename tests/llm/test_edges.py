@@ -92,7 +92,10 @@ def test_quality_filter(docs, labels, none):
 
 
 def test_mix(docs, none):
-    got = mixing.mix(docs).collect()
+    clash = ("_tokens", "_source", "_lang", "_topic", "_ratio", "_salt", "row")
+    got = mixing.mix(docs.withColumns({c: F.lit(c) for c in clash})).collect()
+    assert all(r[c] == c for r in got for c in clash)
+    assert any(r["doc_id"] == 3 and r["text"] is None and r["tokens"] == 0 for r in got)  # a text without words is kept whole
     assert all(0 < r["probability"] <= 1 and r["weight"] >= 1 for r in got) and all(r["key"] == "clash" for r in got)
     assert mixing.mix(none).count() == 0
 

@@ -33,9 +33,10 @@ def topic(text: Column, rules: tuple = TOPICS) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
+    """The whole row as `row`, whatever its columns are called, with what is raked by."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        "*", F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic(text).alias("_topic"),
+        F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic(text).alias("_topic"),
         F.regexp_count(text, F.lit(r"[^\x09-\x0D\x20]+")).cast("long").alias("_tokens"))
 
 
@@ -74,10 +75,10 @@ def mix(docs: DataFrame, rounds: int = ROUNDS, temperature: float = TEMPERATURE,
     rows = described(docs.select(*own))
     cells = saved(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")), "cells")
     ratios = rake(cells, rounds, temperature, targets).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("ratio").alias("_ratio"))
-    joined = lookup_join(rows, ratios, [f"_{d}" for d in DIMENSIONS], ["doc_id"])
+    joined = lookup_join(rows, ratios, [f"_{d}" for d in DIMENSIONS], ["row.doc_id"])
     probability = F.least(F.col("_ratio"), F.lit(1.0))
-    return joined.where(chance(F.col("doc_id")) < probability).select(
-        *own, F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), probability.alias("probability"),
+    return joined.where(chance(F.col("row.doc_id")) < probability).select(
+        "row.*", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), probability.alias("probability"),
         F.when(F.col("_ratio") > 0, F.round(F.col("_ratio") / probability, 6)).otherwise(1.0).alias("weight"))
 
 
