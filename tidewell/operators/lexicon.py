@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.functions.sizing import lookup_join
 from tidewell.functions.text import escape_regex_col
 from tidewell.operators import guards
 
@@ -114,7 +115,7 @@ def compile_template(slots: DataFrame, phrases: DataFrame,
     keep their space behind them, optional ones after it keep their space in front.
     """
     words = compile_alternation(phrases).withColumnRenamed("pattern", "words").drop("phrases")
-    marked = slots.join(F.broadcast(words), ["category", "slot"]).withColumn(
+    marked = lookup_join(slots, words, ["category", "slot"], ["template_id"], how="inner").withColumn(
         "required", F.col("slot").isin(list(required)))
     part = F.struct("pos", "required", F.concat(F.lit("(?:"), "words", F.lit(")")).alias("group"))
     ordered = marked.groupBy("category", "template_id").agg(
@@ -142,7 +143,7 @@ def combination_count(slots: DataFrame, phrases: DataFrame,
     sizes = phrases.groupBy("category", "slot").agg(F.count_distinct("phrase").alias("n"))
     factor = F.when(F.col("slot").isin(list(required)), F.col("n")).otherwise(F.col("n") + 1)
     return (
-        slots.join(F.broadcast(sizes), ["category", "slot"])
+        lookup_join(slots, sizes, ["category", "slot"], ["template_id"], how="inner")
         .groupBy("template_id").agg(F.product(factor.cast("double")).cast("long").alias("combinations"))
     )
 

@@ -35,7 +35,7 @@ def hire_members(hires: DataFrame, positions: DataFrame, default_dept: str = "En
     """Roster rows of hired applicants; the first position of that title gives the department."""
     first = positions.groupBy(F.col("title").alias("role")).agg(
         F.min_by(F.struct("dept", "position_id"), "position_id").alias("p"))
-    return hires.join(first, "role", "left").select(
+    return lookup_join(hires, first, ["role"], ["applicant_id"]).select(
         F.concat(F.lit("hired-"), F.col("applicant_id").cast("string")).alias("member_id"), "name", "role",
         F.coalesce("p.dept", F.lit(default_dept)).alias("dept"), F.col("email").alias("contact"),
         F.col("p.position_id").alias("filled_position"))
@@ -73,7 +73,7 @@ def link_accounts(accounts: DataFrame, members: DataFrame) -> DataFrame:
     address = F.lower(F.trim(F.coalesce("contact", F.lit(""))))
     first = members.withColumn("_email", address).where(F.col("_email") != "").groupBy("_email").agg(
         F.min_by(F.struct("member_id", "role"), "member_id").alias("m"))
-    return accounts.withColumn("_email", F.lower(F.trim("email"))).join(first, "_email", "left").select(
+    return lookup_join(accounts.withColumn("_email", F.lower(F.trim("email"))), first, ["_email"], ["account_id"]).select(
         "account_id", "name", "email", F.col("m.member_id").alias("member_id"),
         F.coalesce(F.startswith(F.lower("m.role"), F.lit("founder")), F.lit(False)).alias("is_founder"))
 

@@ -100,14 +100,14 @@ def _slots(spark, sf):
 # The alternatives of each slot, longest first; a slot's place and whether it is optional decide where the white space goes.
 _SPECIAL = r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0B\f])"
 _ESCAPED = r"\\\1"
-_TEMPLATE = f"""{PHRASES}, words AS (SELECT category, slot, list_position([{_quoted(_SLOTS)}], slot) AS pos, slot IN ({_quoted(guards.REQUIRED_SLOTS)}) AS required,
+_TEMPLATE = rf"""{PHRASES}, words AS (SELECT category, slot, list_position([{_quoted(_SLOTS)}], slot) AS pos, slot IN ({_quoted(guards.REQUIRED_SLOTS)}) AS required,
     '(?:' || string_agg(regexp_replace(phrase, '{_SPECIAL}', '{_ESCAPED}', 'g'), '|' ORDER BY length(phrase) DESC, phrase) || ')' AS alternatives
     FROM (SELECT DISTINCT category, slot, phrase FROM phrases WHERE phrase IS NOT NULL) GROUP BY ALL),
   placed AS (SELECT *, max(pos) FILTER (required) OVER (PARTITION BY category) AS last_required, lag(required) OVER (PARTITION BY category ORDER BY pos) AS after FROM words),
   parts AS (SELECT *, CASE WHEN after THEN '\s+' ELSE '' END AS gap FROM placed)"""
 
 
-@query("compile_template", f"""WITH {_TEMPLATE} SELECT category, 't_' || category AS template_id, '(?<!\w)' || string_agg(CASE WHEN required THEN gap || alternatives
+@query("compile_template", rf"""WITH {_TEMPLATE} SELECT category, 't_' || category AS template_id, '(?<!\w)' || string_agg(CASE WHEN required THEN gap || alternatives
   WHEN pos < last_required THEN gap || '(?:' || alternatives || '\s+)?' ELSE '(?:\s+' || alternatives || ')?' END, '' ORDER BY pos) || '(?!\w)' AS regex FROM parts GROUP BY category""")
 def compile_template(spark, sf):
     return ops.compile_template(_slots(spark, sf), phrases(spark, sf))
