@@ -139,12 +139,18 @@ def compile_template(slots: DataFrame, phrases: DataFrame,
 
 def combination_count(slots: DataFrame, phrases: DataFrame,
                       required: Sequence[str] = guards.REQUIRED_SLOTS) -> DataFrame:
-    """Product over the slots of n phrases, or n + 1 when the slot is optional."""
+    """Product over the slots of n phrases, or n + 1 when the slot is optional.
+
+    `combinations` is null where the number does not fit a bigint; `combinations_exact` holds up to 38 digits without rounding.
+    """
     sizes = phrases.groupBy("category", "slot").agg(F.count_distinct("phrase").alias("n"))
     factor = F.when(F.col("slot").isin(list(required)), F.col("n")).otherwise(F.col("n") + 1)
+    digits = lambda value: value.cast("decimal(38,0)")
+    # Times a bigint, which is one of at most 20 digits: the scale stays 0, and more than 38 digits become null
+    exact = F.aggregate(F.collect_list(factor.cast("decimal(20,0)")), digits(F.lit(1)), lambda product, n: digits(F.try_multiply(product, n)))
     return (
         lookup_join(slots, sizes, ["category", "slot"], ["template_id"], how="inner")
-        .groupBy("template_id").agg(F.product(factor.cast("double")).cast("long").alias("combinations"))
+        .groupBy("template_id").agg(F.product(factor.cast("double")).try_cast("long").alias("combinations"), exact.alias("combinations_exact"))
     )
 
 

@@ -117,7 +117,7 @@ def compile_template(spark, sf):
   ({_quoted(guards.REQUIRED_SLOTS)}) THEN n ELSE n + 1 END) AS BIGINT) AS combinations FROM (SELECT category, slot,
   count(DISTINCT phrase) AS n FROM phrases GROUP BY ALL) GROUP BY category""")
 def combination_count(spark, sf):
-    return ops.combination_count(_slots(spark, sf), phrases(spark, sf))
+    return ops.combination_count(_slots(spark, sf), phrases(spark, sf)).drop("combinations_exact")
 
 
 @query("lexicon_stats", f"""WITH {PHRASES} SELECT severity, category, kind, count(*) AS entries FROM (
