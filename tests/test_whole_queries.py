@@ -5,7 +5,10 @@ from math import prod
 from pyspark.sql import functions as F
 
 from tidewell import catalog
-from tidewell.operators import lexicon
+from tidewell.functions import sizing
+from tidewell.operators import lexicon, scan
+from tidewell.plans import inputs
+from tests.test_plans_at_scale import executed
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +27,24 @@ def test_more_combinations_than_a_bigint_holds(spark):
     assert {c: int(got[f"t_{c}"][1]) for c in want} == want
     assert got["t_few"][0] == want["few"] and got["t_most"][0] == want["most"] and got["t_many"][0] is None
     assert catalog.queries()["combination_count"](spark, SF).columns == ["template_id", "combinations"]
+
+
+def test_a_small_vocabulary_leaves_the_messages_where_they_are(spark, monkeypatch):
+    for name in ("exact_hits", "root_hits", "pair_hits"):
+        plan = executed(catalog.queries()[name](spark, SF))
+        assert "BroadcastHashJoin" in plan and "_salt" not in plan, name
+    texts = ["", None, "kill", "they kill him", "kill him kill him", "Kill  HIM.", "skill him", "him kill", "a him", "end"]
+    given = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = spark.createDataFrame([("kill him", "x"), ("kill him", "y"), ("him", "x"), ("they kill him", "z"), ("end", "x"), ("", "e"), (None, "e")], "phrase string, category string")
+    pairs = (("kill him", "x"), ("kill him", "y"), ("him", "x"))
+    want = sorted([(i, p, c) for i in (3, 4, 5) for p, c in pairs] + [(3, "they kill him", "z"), (6, "him", "x"), (7, "him", "x"), (8, "him", "x"), (9, "end", "x"), (0, "", "e"), (1, "", "e")])
+    found = lambda: sorted(map(tuple, scan.phrase_hits(given, words, "id").collect()))
+    assert found() == want
+    monkeypatch.setattr(scan, "HEADS", 0)
+    assert found() == want
+    monkeypatch.setattr(scan, "BROADCAST_LIMIT_BYTES", -1)
+    monkeypatch.setattr(sizing, "BROADCAST_LIMIT_BYTES", -1)
+    assert found() == want
+    # The texts must not be what is broadcast, however small their files are
+    assert "BroadcastHashJoin" not in executed(scan.phrase_hits(inputs.messages(spark, SF), words, "msg_id"))
+    assert scan.phrase_hits(given, words.where("phrase = 'nowhere'"), "id").collect() == []

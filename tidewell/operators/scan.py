@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.levels import level_name
-from tidewell.functions.sizing import collect_bounded, lookup_join, spread_small
+from tidewell.functions.sizing import BROADCAST_LIMIT_BYTES, collect_bounded, lookup_join, spread_small
 from tidewell.functions.text import (
     bind, bounded_phrases, hinted, inside_any, literal_starts, match_spans, near, no_spans, normalize_text,
     phrase_pattern,
@@ -378,30 +378,36 @@ def hit_rows(scanned: DataFrame, key: str) -> DataFrame:
     return scanned.select(key, F.explode("hits").alias("hit")).select(key, "hit.phrase", "hit.category", "hit.tier")
 
 
+HEADS = 1_000
+
+
 def phrase_hits(messages: DataFrame, phrases: DataFrame, key: str, text: str = "text",
                 longest: int = 12) -> DataFrame:
     """Literal phrases found in messages, by joining word n-grams with a phrase table of any size.
 
     The scale-out form of the exact, root and pair matchers: use it when the vocabulary is too
     large for a pattern. A phrase counts where it stands between word edges. Only n-gram lengths that
-    occur in the vocabulary are spelled out.
+    occur in the vocabulary are spelled out, and only from words some phrase begins with if these are at most `HEADS`. A vocabulary is measured,
+    not estimated: one of up to `BROADCAST_LIMIT_BYTES` is sent to the messages, which then stay where they are.
     """
-    table = phrases.where(F.size(F.split("phrase", " ")) <= longest).groupBy("phrase").agg(
-        F.collect_set("category").alias("_categories"))
-    if phrases.where(F.size(F.split("phrase", " ")) > longest).limit(1).count():
+    parts = F.split("phrase", " ")
+    table = phrases.where(F.size(parts) <= longest).groupBy("phrase").agg(F.collect_set("category").alias("_categories"))
+    if phrases.where(F.size(parts) > longest).limit(1).count():
         raise ValueError(f"the vocabulary holds phrases of more than {longest} words; raise `longest`")
-    lengths = sorted(r["n"] for r in collect_bounded(
-        table.select(F.size(F.split("phrase", " ")).alias("n")).distinct(), longest, "phrase lengths"))
-    words = F.col("_words")
+    held = F.octet_length("phrase") + F.aggregate("_categories", F.lit(0), lambda n, c: n + F.octet_length(c) + 16) + 64
+    lengths, held = table.agg(F.collect_set(F.size(parts)), F.coalesce(F.sum(held), F.lit(0))).first()
+    heads = [r["head"] for r in table.select(F.get(parts, F.lit(0)).alias("head")).distinct().limit(HEADS + 1).collect()]
+    words, starts = F.col("_words"), F.sequence(F.lit(0), F.size("_words") - 1)
+    starts = F.filter(starts, lambda i: F.get(words, i).isin(heads)) if len(heads) <= HEADS else starts
 
     def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        spelled = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, spelled).otherwise(F.array().cast("array<string>"))
+        whole = F.filter("_starts", lambda i: i <= F.size(words) - n)
+        return F.transform(whole, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
-    grams = F.concat(*[grams_of(n) for n in lengths])
+    grams = F.concat(F.array().cast("array<string>"), *[grams_of(n) for n in sorted(lengths)])
     split_up = messages.select(key, F.split(F.trim(
-        F.regexp_replace(normalize_text(text), r"(?U)[^\w']+", " ")), " ").alias("_words"))
+        F.regexp_replace(normalize_text(text), r"(?U)[^\w']+", " ")), " ").alias("_words")).select(key, "_words", starts.alias("_starts"))
     exploded = split_up.select(key, F.explode(F.array_distinct(grams)).alias("phrase"))
-    return lookup_join(exploded, table, ["phrase"], [key], how="inner").select(
-        key, "phrase", F.explode("_categories").alias("category"))
+    met = (exploded.join(F.broadcast(table), "phrase") if held <= BROADCAST_LIMIT_BYTES
+           else lookup_join(exploded, table, ["phrase"], [key], how="inner"))
+    return met.select(key, "phrase", F.explode("_categories").alias("category"))
