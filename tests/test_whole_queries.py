@@ -48,3 +48,11 @@ def test_a_small_vocabulary_leaves_the_messages_where_they_are(spark, monkeypatc
     # The texts must not be what is broadcast, however small their files are
     assert "BroadcastHashJoin" not in executed(scan.phrase_hits(inputs.messages(spark, SF), words, "msg_id"))
     assert scan.phrase_hits(given, words.where("phrase = 'nowhere'"), "id").collect() == []
+
+
+def test_every_user_keeps_threads(spark, tmp_path):
+    turns = spark.range(600).selectExpr("id DIV 2 AS conv_id", "CAST(id % 2 AS INT) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "'x' AS text")
+    more = spark.range(60).selectExpr("7 + 20 * (id + 100) AS conv_id", "0 AS turn", "'user' AS role", "'x' AS text")
+    turns.unionByName(more).write.parquet(str(tmp_path / "conversations.parquet"))
+    kept = {r["user_id"]: r["count"] for r in catalog.queries()["archivable_threads"](spark, str(tmp_path)).groupBy("user_id").count().collect()}
+    assert kept == {u: 50 if u == 7 else 15 for u in range(20)}
