@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import catalog
 from tidewell.functions import sizing
-from tidewell.operators import lexicon, scan
+from tidewell.operators import fuzzy, lexicon, scan
 from tidewell.plans import inputs
 from tests.test_plans_at_scale import executed
 
@@ -56,3 +56,15 @@ def test_every_user_keeps_threads(spark, tmp_path):
     turns.unionByName(more).write.parquet(str(tmp_path / "conversations.parquet"))
     kept = {r["user_id"]: r["count"] for r in catalog.queries()["archivable_threads"](spark, str(tmp_path)).groupBy("user_id").count().collect()}
     assert kept == {u: 50 if u == 7 else 15 for u in range(20)}
+
+
+def test_tokens_without_places(spark):
+    texts = ["", None, "a bc def", "don't  -x- it's 'q' É1abc", "z", "\n\ta\nb"]
+    given = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text", F.lower("text"))
+    for shortest in (1, 3):
+        with_places = fuzzy.tokens(given, "id", F.col("text"), shortest).select("id", "token")
+        without = fuzzy.tokens(given, "id", F.col("text"), shortest, places=False)
+        assert sorted(map(tuple, without.collect())) == sorted(map(tuple, with_places.collect()))
+    for name in ("drop_real_words", "collapse_repeats", "within_one_edit"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan and "regexp_extract_all(" in plan, name

@@ -187,8 +187,11 @@ def within_one_edit(tokens: DataFrame, token: str, words: Mapping[str, int] | Da
         *tokens.columns, F.inline("_found"))
 
 
-def tokens(messages: DataFrame, key: str, text: Column, shortest: int = 3) -> DataFrame:
-    """Word tokens of a text with their offsets."""
+def tokens(messages: DataFrame, key: str, text: Column, shortest: int = 3, places: bool = True) -> DataFrame:
+    """Word tokens of a text with their offsets; without `places`, (key, token) only, which one regex pass gives."""
+    if not places:
+        found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        return messages.select(key, F.explode(F.filter(found, lambda t: F.length(t) >= shortest) if shortest > 1 else found).alias("token"))
     spans = F.filter(match_spans(text, TOKEN), lambda t: F.length(t["t"]) >= shortest)
     return messages.select(key, F.explode(spans).alias("m")).select(
         key, F.col("m.t").alias("token"), F.col("m.s").alias("start"), F.col("m.e").alias("end"))

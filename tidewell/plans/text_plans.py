@@ -337,7 +337,7 @@ _DISTINCT_TOKENS = f"toks AS (SELECT DISTINCT unnest(regexp_extract_all(norm, '[
 
 
 def _distinct_tokens(spark, sf):
-    return fuzzy.tokens(normed(spark, sf), "msg_id", F.col("norm"), shortest=1).select("token").distinct()
+    return fuzzy.tokens(normed(spark, sf), "msg_id", F.col("norm"), shortest=1, places=False).select("token").distinct()
 
 
 @query("collapse_repeats", f"""WITH {_NORMED}, {_DISTINCT_TOKENS} SELECT token, array_to_string(list_filter(string_split(token, ''),
@@ -362,7 +362,7 @@ _DICTIONARY = "dictionary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(te
   ({_q(guards.FUZZY_WORDS)}) OR (token NOT IN (SELECT word FROM dictionary) AND token NOT IN ({_q(guards.STOP_WORDS)}))""")
 def drop_real_words(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    listed = fuzzy.tokens(docs, "doc_id", F.col("t"), shortest=1).select(F.col("token").alias("word"))
+    listed = fuzzy.tokens(docs, "doc_id", F.col("t"), shortest=1, places=False).select(F.col("token").alias("word"))
     stops = spark.createDataFrame([(w,) for w in guards.STOP_WORDS], "word string")
     return fuzzy.drop_real_words(_distinct_tokens(spark, sf), "token", listed.unionByName(stops))
 
