@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell import catalog
 from tidewell.functions import sizing
-from tidewell.operators import fuzzy, lexicon, scan
+from tidewell.functions.text import bounded_phrases, normalize_text
+from tidewell.operators import fuzzy, guards, lexicon, scan
 from tidewell.plans import inputs
 from tests.test_plans_at_scale import executed
 
@@ -68,3 +69,19 @@ def test_tokens_without_places(spark):
     for name in ("drop_real_words", "collapse_repeats", "within_one_edit"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(" not in plan and "regexp_extract_all(" in plan, name
+
+
+def test_edge_hints_and_short_cuts_of_spaces_change_nothing(spark):
+    words = ["i", "im", "kill", "lol", "haha", "so funny", "you", "2day", "é", "é1", "xkill", "_kill", "'kill", "a kill", "́kill", "ſkill", "Kkill", "😂", "x😂", "lolx", "jk", "me", "feeling",
+             "going to", "kill yourself", "you should die", "\tkill", " lol", " im", "\x1cgo die", " ", "  ", "\n \t", "\x85", "-", "3kill"]
+    texts = [a + gap + b for a in words for b in words for gap in ("", " ", "\n ")]
+    given = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.lower(F.trim(F.regexp_replace(F.translate("t", "’‘", "''"), r"(?U)[\s\x1c-\x1f]+", " ")))
+    pairs = [(guards.LAUGH, scan._LAUGH), (guards.RECEIVED_THREAT, scan._THREAT), (guards.MUNDANE, scan._MUNDANE), (guards.SELF_ATTRIBUTION, fuzzy._SELF),
+             (r"(?U)(?<!\w)(?:kill|lol|2day|é1)(?!\w)", bounded_phrases(["kill", "lol", "2day", "é1"]))]
+    n = F.col("n")
+    same = given.select((normalize_text("t") == plain).alias("s"), plain.alias("n")).select(
+        "s", *[(F.regexp_extract_all(n, F.lit(a), F.lit(0)) == F.regexp_extract_all(n, F.lit(b), F.lit(0))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    assert {tuple(r) for r in same.distinct().collect()} == {(True,) * (1 + len(pairs))}
+    # What makes the scan of long texts cheap: no position behind a plain letter is tried
+    assert all("(?<![a-z])(?=" in b for _, b in pairs)

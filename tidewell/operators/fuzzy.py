@@ -91,7 +91,7 @@ def _atoms(shape: str) -> list[str]:
 
 
 _CANDIDATES = candidate_pattern()
-_SELF = hinted(guards.SELF_ATTRIBUTION, ["i", "me", "my", "fe", "be", "am"])
+_SELF = hinted(guards.SELF_ATTRIBUTION, ["i", "me", "my", "fe", "be", "am"], edge=True)
 
 
 def may_misspell(text: Column) -> Column:

@@ -53,7 +53,7 @@ class LevelMatchers:
         if not (self.actions and self.targets):
             return None
         return hinted(r"(?U)(?<!\w)(?:" + phrase_pattern(self.actions) + r")\s+(?:"
-                      + phrase_pattern(self.targets) + r")(?!\w)", {a[:2] for a in self.actions})
+                      + phrase_pattern(self.targets) + r")(?!\w)", {a[:2] for a in self.actions}, edge=True)
 
     def patterns(self) -> list[str]:
         found = [*self.rules, *self.templates, self.exact_pattern(), self.root_pattern(), self.pair_pattern()]
@@ -68,15 +68,15 @@ class LevelMatchers:
 
 def _flagged(regex: str) -> str:
     pattern = "(?iU)" + regex
-    return hinted(pattern, literal_starts(pattern))
+    return hinted(pattern, literal_starts(pattern), edge=True)
 
 
 # What the matches of the fixed guard patterns can start with.
 _SERIOUS = hinted(guards.ALWAYS_SERIOUS, ["su", "ki", "un", "en", "ta", "se", "hu", "cu", "do", "be", "no", "km"])
 _LAUGH = hinted(guards.LAUGH, ["lo", "lm", "ro", "ha", "he", "ja", "😂", "🤣", "😹", "💀", "so", "hi", "fu", "co",
-                               "me", "jk", "ju", "jo", "im", "cr"])
-_THREAT = hinted(guards.RECEIVED_THREAT, ["i", "yo", "u ", "go", "ki", "wa", "no"])
-_MUNDANE = hinted(guards.MUNDANE, list("abcdefghklmnpqrstvw"))
+                               "me", "jk", "ju", "jo", "im", "cr"], edge=True)
+_THREAT = hinted(guards.RECEIVED_THREAT, ["i", "yo", "u ", "go", "ki", "wa", "no"], edge=True)
+_MUNDANE = hinted(guards.MUNDANE, list("abcdefghklmnpqrstvw"), edge=True)
 
 
 def literal_vocabulary(lexicon: Lexicon) -> DataFrame:
