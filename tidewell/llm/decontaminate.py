@@ -141,16 +141,15 @@ class FMIndex:
         return found
 
 
-def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[set[str], list[list[int]]]]:
-    """Per document: the items that occur in it, and merged [start, end) spans of words."""
-    out: list[tuple[set[str], list[list[int]]]] = [(set(), []) for _ in texts]
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+def search_shard(numbers: list[np.ndarray], phrases: Phrases) -> list[tuple[set[str], list[list[int]]]]:
+    """Per document, given as word numbers: the items that occur in it, and merged [start, end) spans of words."""
+    out: list[tuple[set[str], list[list[int]]]] = [(set(), []) for _ in numbers]
+    sizes = np.array([n.size for n in numbers], dtype=np.int64)
     total = int(sizes.sum())
     if not total or not phrases.groups:
         return out
-    get = phrases.number.get
-    codes = np.fromiter((get(w, 0) for t in texts for w in t), dtype=np.int64, count=total)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    codes = np.concatenate(numbers).astype(np.int64)
+    doc = np.repeat(np.arange(len(numbers), dtype=np.int32), sizes)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     inside = codes > 0
     opens = inside.copy()
@@ -199,15 +198,20 @@ def load_phrases(benchmark: DataFrame, window: int = WINDOW) -> Phrases:
 
 
 def _shards(batches: Iterator[pd.DataFrame], phrases: Phrases) -> Iterator[tuple[pd.DataFrame, list, list]]:
-    """Slices of the batches with their words and findings; a shard ends at `SHARD_WORDS` words or with its batch."""
+    """Slices of the batches with their word numbers and findings; a shard ends at `SHARD_WORDS` words or with its batch.
+
+    The words of one text are held at a time; of the others only the numbers.
+    """
+    get = phrases.number.get
     for batch in batches:
-        begin, texts, size = 0, [], 0
+        begin, numbers, size = 0, [], 0
         for i, text in enumerate(batch["text"]):
-            texts.append(words(text or ""))
-            size += len(texts[-1])
+            found = words(text or "")
+            numbers.append(np.fromiter((get(w, 0) for w in found), dtype=np.int32, count=len(found)))
+            size += len(found)
             if size >= SHARD_WORDS or i == len(batch) - 1:
-                yield batch.iloc[begin:i + 1], texts, search_shard(texts, phrases)
-                begin, texts, size = i + 1, [], 0
+                yield batch.iloc[begin:i + 1], numbers, search_shard(numbers, phrases)
+                begin, numbers, size = i + 1, [], 0
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -215,9 +219,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     sent = docs.sparkSession.sparkContext.broadcast(load_phrases(benchmark, window))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, texts, found in _shards(batches, sent.value):
+        for part, numbers, found in _shards(batches, sent.value):
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "n_words": [len(t) for t in texts],
+                "doc_id": part["doc_id"].to_numpy(), "n_words": [n.size for n in numbers],
                 "n_hit": [sum(e - b for b, e in spans) for _, spans in found],
                 "items": [sorted(items) for items, _ in found], "spans": [spans for _, spans in found]})
 
@@ -254,8 +258,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                 out.append(left if not spans or WORD.search(left) else "\x00")
         return pd.Series(out, dtype=object)
 
+    # Not deterministic for the optimizer, which would otherwise search every text twice, in two workers at a time: for the filter and for the result
     gone = F.col("text").isNotNull() & (F.col("text") == "\x00")
-    out = docs.withColumn("text", cleaned(F.col("text"))).where(~gone)
+    out = docs.withColumn("text", cleaned.asNondeterministic()(F.col("text"))).where(~gone)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
