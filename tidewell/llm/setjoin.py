@@ -33,10 +33,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.functions.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes, lookup_anti
 from tidewell.llm.common import components, forget, read, saved
 from tidewell.llm.registry import query
 
-MIDDLE, BLOCK_SHINGLES, MOST_SUBSETS, LIST_COST = 64, 1 << 19, 64, 0.1
+MIDDLE, BLOCK_SHINGLES, BUCKET_KEYS, MOST_SUBSETS, LIST_COST = 64, 1 << 19, 1 << 21, 64, 0.1
 LADDER = 2 ** 0.5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -85,7 +86,8 @@ def boundary(counts: dict[int, int], percent: int) -> int:
         low = limit * percent // 100
         return sum(c * subset_count(n, percent) for n, c in counts.items() if n <= limit) + sum(
             c * prefix_size(n, percent) * (1 + LIST_COST * n) for n, c in counts.items() if n > low)
-    options = [0, *sorted(n for n in counts if n > 0 and subset_count(n, percent) <= MOST_SUBSETS)]
+    # Seven to drop are always too many; their subsets are not counted, which for large sets takes long
+    options = [0, *sorted(n for n in counts if n > 0 and dropped(n, percent) <= 6 and subset_count(n, percent) <= MOST_SUBSETS)]
     return min(options, key=lambda n: (cost(n), n))
 
 
@@ -229,10 +231,48 @@ def scan(members: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def dealt(ids: np.ndarray, lists: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """The list keys of some sets, dealt into buckets by hash: bucket, ids and keys, side by side, a row per bucket."""
+    keys = np.concatenate([np.zeros(0, dtype=np.int64), *lists])
+    ids = np.repeat(ids, [len(x) for x in lists])
+    bucket = (mixed(keys.view(np.uint64) + _A) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    starts = np.concatenate(([0], cuts))[:order.size]
+    def parts(x: np.ndarray) -> pd.Series:
+        return pd.Series(np.split(x[order], cuts) if order.size else [], dtype=object)
+    return pd.DataFrame({"bucket": bucket[order][starts], "ids": parts(ids), "keys": parts(keys)})
+
+
+def shared_lists(ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    """(top, id), once each, of the lists that hold more than one id; top is the smallest id of the list."""
+    order = np.lexsort((ids, keys))
+    ids, keys = ids[order], keys[order]
+    fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if keys.size else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(fresh, keys.size))
+    top, last = ids[fresh], ids[fresh + counts - 1]
+    more = np.repeat(top < last, counts)
+    return pd.DataFrame({"top": np.repeat(top, counts)[more], "id": ids[more]}).drop_duplicates()
+
+
 def _clusters(lists: DataFrame) -> DataFrame:
-    """(top, id) of lists (key, id) that hold more than one set; top is the smallest id of the list."""
-    tops = lists.groupBy("key").agg(F.min("id").alias("top"), F.max("id").alias("last")).where("top < last").select("key", "top")
-    return lists.join(tops, "key").select("top", "id").distinct()
+    """(top, id) of the lists (id, lists: the keys of a set) that hold more than one set; top is the smallest id of the list.
+
+    Nearly all keys have one set. So keys travel once, packed as numbers into buckets of bounded volume, and only those that are shared become rows.
+    """
+    spark = lists.sparkSession
+    total = lists.agg(F.sum(F.size("lists"))).first()[0] or 0
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_KEYS))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield dealt(batch["id"].to_numpy(), list(batch["lists"]), buckets)
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        return shared_lists(np.concatenate(list(frame["ids"])), np.concatenate(list(frame["keys"])))
+
+    packed = lists.mapInPandas(pack, "bucket long, ids array<long>, keys array<long>")
+    return packed.groupBy("bucket").applyInPandas(found, "top long, id long").distinct()
 
 
 def _scanned(member: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -241,8 +281,11 @@ def _scanned(member: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
     blocks = known.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = known.join(blocks, "top").select("top", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    rows = placed.select("top", "id", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own").join(
-        texts.withColumnRenamed("doc_id", "id"), "id").select("top", "i", "j", "id", "text", (F.col("own") == F.col("i")).alias("probe"))
+    placed = saved(placed.select("top", "id", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own"), "placed")
+    # Few places are sent to the texts, so that these travel once, to their blocks
+    small = estimated_bytes(placed) <= BROADCAST_LIMIT_BYTES
+    rows = texts.withColumnRenamed("doc_id", "id").join(F.broadcast(placed) if small else placed, "id").select(
+        "top", "i", "j", "id", "text", (F.col("own") == F.col("i")).alias("probe"))
     return rows.groupBy("top", "i", "j").applyInPandas(lambda frame: scan(frame, k, percent), "a long, b long")
 
 
@@ -261,14 +304,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     reps = saved(listed.where("n > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     counts = {r["n"]: r["c"] for r in reps.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("c")).collect()}
     limit = boundary(counts, percent)
-    once = listed.join(reps.select("key1", "key2", F.col("rep").alias("doc_id")), ["doc_id", "key1", "key2"]).withColumnRenamed("doc_id", "id")
+    named = saved(listed.select("doc_id", "n", "key1", "key2"), "named")
+    own = named.where("n > 0 AND doc_id IS NOT NULL").select("key1", "key2", "doc_id")
+    same = saved(own.join(reps.select("key1", "key2", "rep"), ["key1", "key2"]).where("doc_id <> rep"), "copies")
+    # Copies are told apart by their names, so that the lists stay where they are
+    once = lookup_anti(listed.where("n > 0 AND doc_id IS NOT NULL"), same, ["doc_id", "key1", "key2"]).withColumnRenamed("doc_id", "id")
     small = once.where(F.col("n") <= limit).select("id", "n", F.inline("subsets"))
-    lists = once.where(F.col("n") > limit * percent // 100).select("id", F.explode("lists").alias("key"))
+    lists = once.where(F.col("n") > limit * percent // 100).select("id", "lists")
     member = saved(_clusters(lists), "clusters")
     edges = saved(_stars(small, percent).union(_scanned(member, reps, texts, k, percent)), "links")
-    forget(member)
-    own = listed.where("n > 0 AND doc_id IS NOT NULL").select("key1", "key2", "doc_id")
-    same = own.join(reps.select("key1", "key2", "rep"), ["key1", "key2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    forget(member), forget(listed)
+    same = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # Copies are leaves: only ids that link to another set, or stand under two sets, take part in the iteration
     between = edges.union(same.join(same.groupBy("a").agg(F.countDistinct("b").alias("c")).where("c > 1").select("a"), "a").select("a", "b"))
     reached = components(between)
@@ -276,7 +322,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     label = reps.select("key1", "key2", "rep").join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key1", "key2", F.coalesce("component", "rep").alias("component_id"))
     heads = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key1"))
-    return listed.select("doc_id", "n", heads.alias("key1"), "key2").join(label, ["key1", "key2"], "left").select(
+    return named.select("doc_id", "n", heads.alias("key1"), "key2").join(label, ["key1", "key2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
