@@ -37,7 +37,9 @@ from tidewell.functions.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes, lo
 from tidewell.llm.common import components, forget, read, saved
 from tidewell.llm.registry import query
 
-MIDDLE, BLOCK_SHINGLES, BUCKET_KEYS, MOST_SUBSETS, LIST_COST = 64, 1 << 19, 1 << 21, 64, 0.1
+MIDDLE, BLOCK_SHINGLES, BUCKET_KEYS, MOST_SUBSETS, LIST_COST = 64, 1 << 19, 1 << 19, 64, 0.1
+# What a Python worker holds at a time besides the batch it was given: word hashes, rows to return, list keys being dealt
+KNOWN_WORDS, ROWS_OUT, SLICE_KEYS = 100_000, 512, 1 << 18
 LADDER = 2 ** 0.5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,7 +60,7 @@ def shingles(text: str | None, k: int, known: dict[bytes, int]) -> np.ndarray:
     for t in set(tokens).difference(known):
         known[t] = xxhash.xxh3_64_intdigest(t)
     h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     width = min(k, h.size)
     out = np.full(h.size - width + 1, np.uint64(width), dtype=np.uint64)
@@ -170,9 +172,9 @@ def _listed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         few: dict[int, bool] = {}
-        for batch in batches:
+        for part in (batch[at:at + ROWS_OUT] for batch in batches for at in range(0, max(len(batch), 1), ROWS_OUT)):
             rows = []
-            for i, text in zip(batch["doc_id"], batch["text"]):
+            for i, text in zip(part["doc_id"], part["text"]):
                 s = shingles(text, k, known)
                 if not s.size:
                     rows.append((i, 0, 0, 0, [], []))
@@ -192,20 +194,21 @@ def scan(members: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     known: dict[bytes, int] = {}
     sets = [shingles(t, k, known) for t in members["text"]]
     sizes = np.array([x.size for x in sets])
-    tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    del sets, known
     order = np.argsort(tokens, kind="stable")
     tokens, of = tokens[order], of[order]
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     counts = np.diff(np.append(first, tokens.size))
     shared = counts > 1
     first, counts = first[shared], counts[shared]
-    row = np.empty(order.size, dtype=np.int64)
-    row[:] = -1
-    spread = np.repeat(np.arange(first.size), counts)
+    row = np.full(order.size, -1, dtype=np.int32)
+    spread = np.repeat(np.arange(first.size, dtype=np.int32), counts)
     inside = np.arange(spread.size) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
     row[order[inside]] = spread
+    del tokens, order, spread, inside
     edge = np.concatenate(([0], np.cumsum(sizes)))
-    root = np.arange(len(sets))
+    root = np.arange(sizes.size)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -221,7 +224,7 @@ def scan(members: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
             continue
         c = counts[lists]
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[lists], c)
-        overlap = np.bincount(of[at], minlength=len(sets))
+        overlap = np.bincount(of[at], minlength=sizes.size)
         linked = np.flatnonzero(overlap * 100 >= percent * (sizes[x] + sizes - overlap))
         for y in linked.tolist():
             p, q = find(int(x)), find(y)
@@ -244,6 +247,18 @@ def dealt(ids: np.ndarray, lists: list[np.ndarray], buckets: int) -> pd.DataFram
     return pd.DataFrame({"bucket": bucket[order][starts], "ids": parts(ids), "keys": parts(keys)})
 
 
+def packed(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """The list keys (id, lists) dealt into buckets, at most `SLICE_KEYS` at a time or those of one set."""
+    for batch in batches:
+        ids, lists = batch["id"].to_numpy(), list(batch["lists"])
+        ends, start = np.cumsum([len(x) for x in lists]), 0
+        while start < len(lists):
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + SLICE_KEYS, side="right")))
+            yield dealt(ids[start:end], lists[start:end], buckets)
+            start = end
+
+
 def shared_lists(ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
     """(top, id), once each, of the lists that hold more than one id; top is the smallest id of the list."""
     order = np.lexsort((ids, keys))
@@ -264,15 +279,11 @@ def _clusters(lists: DataFrame) -> DataFrame:
     total = lists.agg(F.sum(F.size("lists"))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_KEYS))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield dealt(batch["id"].to_numpy(), list(batch["lists"]), buckets)
-
     def found(frame: pd.DataFrame) -> pd.DataFrame:
         return shared_lists(np.concatenate(list(frame["ids"])), np.concatenate(list(frame["keys"])))
 
-    packed = lists.mapInPandas(pack, "bucket long, ids array<long>, keys array<long>")
-    return packed.groupBy("bucket").applyInPandas(found, "top long, id long").distinct()
+    dealt_out = lists.mapInPandas(lambda batches: packed(batches, buckets), "bucket long, ids array<long>, keys array<long>")
+    return dealt_out.groupBy("bucket").applyInPandas(found, "top long, id long").distinct()
 
 
 def _scanned(member: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
