@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.levels import LEVELS, clamp, level_name, severity_rank
-from tidewell.functions.sizing import lookup_join
+from tidewell.functions.sizing import lookup_join, not_broadcast_unmeasured
 
 # What a missing or malformed verdict turns into.
 FAIL_SAFE_LEVEL = "high"
@@ -165,10 +165,11 @@ def fuse_verdicts(scanned: DataFrame, verdicts: DataFrame, settings: DataFrame,
     """Final verdict per scanned message.
 
     Only messages that no fast path decides take part in the verdict join. Users without a settings
-    row, and anonymous messages, get every layer on; anonymous messages record nothing.
+    row, and anonymous messages, get every layer on; anonymous messages record nothing. Settings and verdicts grow
+    with the users and messages, so they are counted before a broadcast.
     """
     prefs = settings.select(user, F.col("toggles").alias("_toggles"), F.col("popup_policy").alias("_policy"))
-    joined = lookup_join(scanned, prefs, [user], [message_id])
+    joined = lookup_join(scanned, prefs, [user], [message_id], measured=True)
 
     def toggle(name: str) -> Column:
         return F.coalesce(F.col("_toggles")[name], F.lit(True))
@@ -191,7 +192,7 @@ def fuse_verdicts(scanned: DataFrame, verdicts: DataFrame, settings: DataFrame,
         "source": F.lit("layer1"), "model_level": F.lit("none"), "failed": F.lit(False)})
     asked = fail_safe(parse_verdicts(
         staged.where(F.col("route") == "model").join(
-            verdicts.select(message_id, "raw", "error"), message_id, "left")))
+            not_broadcast_unmeasured(verdicts.select(message_id, "raw", "error")), message_id, "left")))
     disabled = F.struct(
         F.lit("none").alias("risk_level"), F.array().cast("array<string>").alias("categories"),
         F.lit(0.0).alias("confidence"), F.lit("semantic layer disabled in settings").alias("rationale"))
